@@ -46,18 +46,17 @@ def extract_lines(documents: DataFrame, blocks: DataFrame, forced: DataFrame | N
         named = named.join(forced.select("source_id", F.col("anchor_code").alias("forced_code")), "source_id", "left")
     lots = cut_lineage(named)
 
-    candidates = cut_lineage(_demolition(headings.candidate_headings(blocks), lots, blocks))
+    candidates = cut_lineage(_demolition(cut_lineage(headings.candidate_headings(blocks)), lots, blocks))
     perimeters, selected = perimeter.select_perimeter(candidates, lots)
-    perimeters = cut_lineage(perimeters)
+    perimeters, selected = cut_lineage(perimeters), cut_lineage(selected)
     trade = perimeters.where(F.col("method") == "trade_work_anchor").select("source_id")
     rebuilt = headings.renumber_under(
         headings.drop_sans_objet(
             selected.join(trade, "source_id", "left_semi"), blocks.join(trade, "source_id", "left_semi")
         )
     )
-    kept = cut_lineage(
-        headings.dedupe_headings(selected.join(trade, "source_id", "left_anti").unionByName(rebuilt))
-    )
+    inside_work = cut_lineage(selected.join(trade, "source_id", "left_anti").unionByName(rebuilt))
+    kept = cut_lineage(headings.dedupe_headings(inside_work))
 
     # the first rebuilt code is the anchor of a demolition perimeter
     anchors = kept.join(trade, "source_id", "left_semi").groupBy("source_id").agg(F.min_by("code", "pos").alias("rebuilt_code"))
