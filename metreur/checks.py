@@ -205,7 +205,7 @@ GENERIC = f"({norm('title')} IN ({listed(catalogue.GENERIC_TITLES)}) OR regexp_m
 check("f15_is_generic_title", f"SELECT source_id, pos, {GENERIC} AS is_generic FROM spec_headings", "spec_headings")
 check("f16_filename_identity", r"""WITH s AS (SELECT source_id, trim(regexp_replace(regexp_replace(regexp_replace(original_name, '[.][^.]*$', ''), '[_\-]+', ' ', 'g'), '\s+', ' ', 'g')) AS stem
     FROM spec_documents), f AS (SELECT source_id, regexp_extract(stem, 'LOT\s*(\d+)', 1) AS code, regexp_extract(stem, 'LOT\s*\d+(.*)$', 1) AS rest FROM s)
-    SELECT source_id, lpad(code, greatest(2, length(code)), '0') AS code, substr(trim(rest, ' -–—:.;'), 1, 100) AS title FROM f""", "spec_documents")
+    SELECT source_id, lpad(code, CAST(greatest(2, length(code)) AS INT), '0') AS code, substr(trim(rest, ' -–—:.;'), 1, 100) AS title FROM f""", "spec_documents")
 check("f17_repeat_key", f"""SELECT source_id, pos, {REPEAT.format(c="'- ' || text || ' Page ' || pos || ' | 3 / 12 '")} AS repeat_key FROM sentences""", "sentences")
 check("f18_signature", f"""SELECT source_id, pos, array_to_string({words('title', catalogue.SIGNATURE_STOPWORDS)}, '|') AS signature,
     array_to_string({words('title', catalogue.COMPARISON_STOPWORDS)}, '|') AS tokens FROM spec_headings""", "spec_headings")

@@ -42,9 +42,10 @@ def collapse(c) -> Column:
 
 def _fold(text: str) -> str:
     """Accents, ligatures, curly apostrophes and case away; blanks untouched."""
-    for mark in APOSTROPHES:
-        text = text.replace(mark, "'")
-    text = "".join(ch for ch in unicodedata.normalize("NFKD", text) if not unicodedata.combining(ch))
+    straight = str.maketrans(dict.fromkeys(APOSTROPHES, "'"))
+    # before decomposing, which would take "´" apart, and after, which yields new ones
+    text = unicodedata.normalize("NFKD", text.translate(straight)).translate(straight)
+    text = "".join(ch for ch in text if not unicodedata.combining(ch))
     for pair, plain in (("œ", "oe"), ("Œ", "OE"), ("æ", "ae"), ("Æ", "AE")):
         text = text.replace(pair, plain)
     return text.casefold()

@@ -79,7 +79,11 @@ def first_match(text: Column, rules, otherwise: Column) -> Column:
 
 
 def classify_family(title, normalized: bool = False, rules=None) -> Column:
-    """(family, rank) of a lot title."""
+    """(family, rank) of a lot title.
+
+    With many rules, normalise into a column first and pass it with
+    ``normalized``: one value for all patterns keeps the plan small.
+    """
     text = as_column(title) if normalized else normalize_text(title)
     rules = catalogue.LOT_FAMILY_RULES if rules is None else rules
 
@@ -90,7 +94,10 @@ def classify_family(title, normalized: bool = False, rules=None) -> Column:
 
 
 def infer_unit(title, context, family, normalized_title=None) -> Column:
-    """(unit, source, confidence): stated, else by trade rule, else by general rule, else default."""
+    """(unit, source, confidence): stated, else by trade rule, else by general rule, else default.
+
+    ``normalized_title`` names a column that already holds the normalised title.
+    """
     family = as_column(family)
     text = normalize_text(title) if normalized_title is None else as_column(normalized_title)
 

@@ -130,9 +130,8 @@ def match_in_groups(edges: DataFrame, generated: DataFrame, reference: DataFrame
         .withColumn("side", F.lit("g"))
         .unionByName(_members(reference, edges, "ref_index", "ref_text").withColumn("side", F.lit("r")))
     )
-    return (
-        edges.groupBy("pair").cogroup(members.groupBy("pair")).applyInPandas(lambda e, m: _match_group(e, m), MATCH_SCHEMA)
-    )
+    members = members.select(F.col("pair").alias("bill"), "side", "text", "idx")
+    return edges.groupBy("pair").cogroup(members.groupBy("bill")).applyInPandas(_match_group, MATCH_SCHEMA)
 
 
 def _ranked(members: DataFrame) -> DataFrame:

@@ -29,8 +29,7 @@ def toc_pages(blocks: DataFrame) -> DataFrame:
     )
 
 
-def _outside_contents(blocks: DataFrame, contents: DataFrame | None) -> DataFrame:
-    contents = toc_pages(blocks) if contents is None else contents
+def _outside_contents(blocks: DataFrame, contents: DataFrame) -> DataFrame:
     text = trim_blanks("text")
     kept = blocks.withColumn("text", text).where(
         ~F.col("text").rlike(codes.CONTENTS_ENTRY) & ~F.col("text").rlike(codes.LOT_MENTION)
@@ -44,6 +43,7 @@ def _possible(text: Column) -> Column:
 
 def heading_prefilter(blocks: DataFrame, contents: DataFrame | None = None) -> DataFrame:
     """Blocks that may be headings."""
+    contents = toc_pages(blocks) if contents is None else contents
     return _outside_contents(blocks.where(_possible(trim_blanks("text"))), contents)
 
 
@@ -80,6 +80,7 @@ def needs_style_numbering(blocks: DataFrame) -> DataFrame:
 
 def synthesize_numbering(blocks: DataFrame, contents: DataFrame | None = None) -> DataFrame:
     """Headings numbered from their styles, the shallowest style taken as level 1."""
+    contents = toc_pages(blocks) if contents is None else contents
     usable = _outside_contents(
         blocks.withColumn("style_level", codes.style_level("style")).where(F.col("style_level").isNotNull()), contents
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from metreur.functions.codes import natural_code_key
+from metreur.functions.text import normalize_text
 from metreur.functions.units import classify_family
 
 
@@ -13,8 +14,10 @@ def lot_order(lots: DataFrame) -> DataFrame:
     """Append the sort key of lots: code by value, usual place of the trade, title."""
     return (
         lots.withColumn("code_key", natural_code_key(F.coalesce("lot_code", F.lit(""))))
-        .withColumn("family_rank", classify_family(F.coalesce("lot_title", F.lit("")))["rank"])
+        .withColumn("title_norm", normalize_text(F.coalesce("lot_title", F.lit(""))))
+        .withColumn("family_rank", classify_family("title_norm", normalized=True)["rank"])
         .withColumn("title_key", F.lower(F.coalesce("lot_title", F.lit(""))))
+        .drop("title_norm")
     )
 
 

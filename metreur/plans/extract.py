@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from metreur.functions.text import normalize_text
 from metreur.functions.units import classify_family
 from metreur.operators import enrich, headings, lines, perimeter
 from metreur.session import cut_lineage
@@ -39,7 +40,9 @@ def extract_lines(documents: DataFrame, blocks: DataFrame, forced: DataFrame | N
     by several later steps, and a lost executor costs one step.
     """
     identities = headings.lot_identity(documents, blocks)
-    named = identities.withColumn("family", classify_family("lot_title")["family"])
+    named = identities.withColumn("title_key", normalize_text("lot_title")).withColumn(
+        "family", classify_family("title_key", normalized=True)["family"]
+    )
     if forced is None:
         named = named.withColumn("forced_code", F.lit(None).cast("string"))
     else:

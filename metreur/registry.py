@@ -16,6 +16,7 @@ from metreur.functions import codes, similarity, text, units
 from metreur.operators import enrich, evaluate, headings, lines, listing, ordered, overlay, perimeter, rollup, stats
 from metreur.plans import evaluation
 from metreur.plans.extract import extract_lines, retry_perimeter
+from metreur.session import cut_lineage
 from metreur.sources import bills, contract, layout, manifest
 from metreur.views import table
 
@@ -225,7 +226,8 @@ def f14_is_option(v):
 
 @query
 def f15_is_generic_title(v):
-    return v.spec_headings.select("source_id", "pos", units.is_generic_title("title").alias("is_generic"))
+    keyed = v.spec_headings.withColumn("title_key", text.normalize_text("title"))
+    return keyed.select("source_id", "pos", units.is_generic_title("title_key", normalized=True).alias("is_generic"))
 
 
 @query
@@ -357,7 +359,7 @@ def p4_search_dossiers(v):
 
 @query
 def p5_drop_sans_objet(v):
-    found = headings.numbered_headings(v.spec_blocks)
+    found = cut_lineage(headings.numbered_headings(v.spec_blocks))
     return headings.drop_sans_objet(found, v.spec_blocks).select("source_id", "pos", "code")
 
 
@@ -431,7 +433,7 @@ def _some_anchored(v) -> DataFrame:
     found = v.spec_headings
     sizes = found.groupBy("source_id").agg(F.count("*").alias("rows"))
     title = F.when(F.col("rows") < 20, F.replace("title", F.lit("Description"), F.lit("Chapitre"))).otherwise(F.col("title"))
-    return found.join(sizes, "source_id").withColumn("title", title).drop("rows", "n")
+    return cut_lineage(found.join(sizes, "source_id").withColumn("title", title).drop("rows", "n"))
 
 
 @query
@@ -490,7 +492,7 @@ def d10_dedupe_headings(v):
 
 @query
 def d11_attach_context(v):
-    found = headings.numbered_headings(v.spec_blocks)
+    found = cut_lineage(headings.numbered_headings(v.spec_blocks))
     return lines.attach_context(found, v.spec_blocks).select("source_id", "pos", "context", "is_void")
 
 
@@ -551,16 +553,17 @@ def d17_extract_lines(v):
 
 @query
 def r1_classify_family(v):
-    found = units.classify_family("lot_title")
-    return v.spec_documents.select("source_id", found["family"].alias("family"), found["rank"].alias("family_rank"))
+    found = units.classify_family("title_key", normalized=True)
+    keyed = v.spec_documents.withColumn("title_key", text.normalize_text("lot_title"))
+    return keyed.select("source_id", found["family"].alias("family"), found["rank"].alias("family_rank"))
 
 
 @query
 def r2_infer_unit(v):
     family = F.when(F.col("level") == 1, "vrd").when(F.col("level") == 2, "cvc").otherwise("peinture")
-    found = units.infer_unit("title", F.lit(""), family)
-    return v.spec_headings.select(
-        "source_id", "pos", found["unit"].alias("unit"), found["source"].alias("unit_source"), found["confidence"].alias("unit_confidence")
+    found = units.infer_unit("title", F.lit(""), family, "title_key")
+    return v.spec_headings.withColumn("title_key", text.normalize_text("title")).withColumn("found", found).select(
+        "source_id", "pos", F.col("found.unit").alias("unit"), F.col("found.source").alias("unit_source"), F.col("found.confidence").alias("unit_confidence")
     )
 
 
@@ -593,8 +596,9 @@ def _bill_of_headings(v) -> DataFrame:
 
 
 def _trade_lots(v) -> DataFrame:
-    family = units.classify_family("lot_title")["family"]
-    return v.spec_documents.select("source_id", F.when(F.col("extension") == ".docx", "vrd").otherwise(family).alias("family"))
+    family = units.classify_family("title_key", normalized=True)["family"]
+    keyed = v.spec_documents.withColumn("title_key", text.normalize_text("lot_title"))
+    return keyed.select("source_id", F.when(F.col("extension") == ".docx", "vrd").otherwise(family).alias("family"))
 
 
 @query
@@ -605,7 +609,7 @@ def e1_decomposition_triggers(v):
 
 @query
 def e1_apply_decomposition(v):
-    return enrich.apply_decomposition(_bill_of_headings(v), _trade_lots(v)).select(
+    return enrich.apply_decomposition(cut_lineage(_bill_of_headings(v)), cut_lineage(_trade_lots(v))).select(
         "source_id", "pos", "line_id", "designation", "level", "unit", "origin"
     )
 
@@ -619,7 +623,7 @@ def e2_skeleton_anchors(v):
 
 @query
 def e2_apply_skeleton(v):
-    return enrich.apply_skeleton(_bill_of_headings(v), _trade_lots(v)).select(
+    return enrich.apply_skeleton(cut_lineage(_bill_of_headings(v)), cut_lineage(_trade_lots(v))).select(
         "source_id", "pos", "line_id", "designation", "level", "unit", "origin"
     )
 
@@ -724,7 +728,7 @@ def j6_unmatched(v):
 
 @query
 def j7_following_heading(v):
-    found = headings.numbered_headings(v.spec_blocks)
+    found = cut_lineage(headings.numbered_headings(v.spec_blocks))
     placed = ordered.following(found, ["source_id"], "pos", ["pos", "code"], "next")
     return placed.select("source_id", "pos", F.col("next.pos").alias("next_pos"), F.col("next.code").alias("next_code"))
 
