@@ -24,6 +24,19 @@ WORK_ANCHOR = (
 HEADING_STYLE = r"(?iU)(?:heading|titre)\s*(\d+)"
 
 
+def is_contents_entry(c) -> Column:
+    return F.contains(as_column(c), F.lit("...")) & as_column(c).rlike(CONTENTS_ENTRY)
+
+
+def mentions_lot(c) -> Column:
+    # the plain search spares most texts the pattern
+    return F.contains(F.lower(as_column(c)), F.lit("lot")) & as_column(c).rlike(LOT_MENTION)
+
+
+def opens_work(c) -> Column:
+    return F.contains(F.lower(as_column(c)), F.lit("descripti")) & as_column(c).rlike(WORK_ANCHOR)
+
+
 def normalize_code(c) -> Column:
     return F.regexp_replace(trim_blanks(F.replace(as_column(c), F.lit("-"), F.lit("."))), r"[.\-]+$", "")
 

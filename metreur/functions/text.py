@@ -23,7 +23,6 @@ BLANKS = (
     " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004"
     "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-BLANK_RUN = "[" + BLANKS + "]+"
 APOSTROPHES = "‘’ʼ´`"
 
 
@@ -35,9 +34,18 @@ def trim_blanks(c) -> Column:
     return F.btrim(as_column(c), F.lit(BLANKS))
 
 
+def _one_space(c: Column) -> Column:
+    return F.regexp_replace(c, " {2,}", " ")
+
+
+def single_spaced(c) -> Column:
+    """Every run of blanks becomes one space. A table lookup per letter, not a class of 25 to try."""
+    return _one_space(F.translate(as_column(c), BLANKS, " " * len(BLANKS)))
+
+
 def collapse(c) -> Column:
-    """Every run of blanks becomes one space; none at the ends."""
-    return F.btrim(F.regexp_replace(as_column(c), BLANK_RUN, " "), F.lit(" "))
+    """The same, none at the ends."""
+    return F.btrim(single_spaced(c), F.lit(" "))
 
 
 def _fold(text: str) -> str:
@@ -51,6 +59,20 @@ def _fold(text: str) -> str:
     return text.casefold()
 
 
+FREQUENT = {"œ": "oe", "Œ": "oe", "æ": "ae", "Æ": "ae", "ß": "ss", "…": "..."}
+
+
+def _ranges(letters) -> str:
+    """Class that holds the letters in few ranges; letters between close ones may get in."""
+    spans: list[list[int]] = []
+    for code in sorted(map(ord, letters)):
+        if spans and code - spans[-1][1] <= (96 if code > 0x2FF else 1):
+            spans[-1][1] = code
+        else:
+            spans.append([code, code])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans) + "]"
+
+
 @lru_cache(maxsize=1)
 def fold_table() -> tuple[str, str, dict[str, str]]:
     """What folding does to each letter below U+3000 and the ligature block.
@@ -71,6 +93,10 @@ def fold_table() -> tuple[str, str, dict[str, str]]:
         else:
             gone.append(letter)
     single["`"] = "'"
+    single.update(dict.fromkeys(BLANKS, " "))
+    # frequent ones have a replacement of their own
+    for letter in FREQUENT:
+        longer.pop(letter, None)
     return "".join(single) + "".join(gone), "".join(single.values()), longer
 
 
@@ -89,9 +115,11 @@ def normalize_text(c) -> Column:
     expanded = F.array_join(
         F.transform(F.split(text, ""), lambda ch: F.coalesce(F.element_at(table, ch), ch)), ""
     )
-    holds_long = text.rlike("[" + "".join(longer) + "]")
-    text = F.when(holds_long, expanded).otherwise(text)
-    return collapse(F.lower(F.translate(text, letters, replacements)))
+    # the class may hold a few letters more: they only take the longer way to the same result
+    text = F.when(text.rlike(_ranges(longer)), expanded).otherwise(text)
+    for letter, folded in FREQUENT.items():
+        text = F.replace(text, F.lit(letter), F.lit(folded))
+    return F.btrim(_one_space(F.lower(F.translate(text, letters, replacements))), F.lit(" "))
 
 
 @F.pandas_udf(T.StringType())
@@ -109,7 +137,7 @@ def clean_block_text(c) -> Column:
 def clean_title(c) -> Column:
     """Title without dot leader and page number or stray punctuation, 240 letters at most."""
     text = F.regexp_replace(as_column(c), r"(?Ud)\.{3,}\s*\d+\s*$", "")
-    text = F.regexp_replace(text, BLANK_RUN, " ")
+    text = single_spaced(text)
     return F.substring(F.btrim(text, F.lit(" \t-–—:.;")), 1, 240)
 
 
@@ -118,7 +146,7 @@ def repeat_key(c) -> Column:
     text = F.lower(as_column(c))
     text = F.regexp_replace(text, r"(?U)\b\d+\s*/\s*\d+\b", "#/#")
     text = F.regexp_replace(text, r"(?U)\bpage\s+\d+\b", "page #")
-    return F.btrim(F.regexp_replace(text, BLANK_RUN, " "), F.lit(" -–—"))
+    return F.btrim(single_spaced(text), F.lit(" -–—"))
 
 
 def _tokens(normalized, stopwords) -> Column:

@@ -23,7 +23,7 @@ def toc_pages(blocks: DataFrame) -> DataFrame:
     return (
         blocks.where(F.col("page").isNotNull())
         .groupBy("source_id", "page")
-        .agg(F.bool_or(name).alias("named"), F.count_if(F.col("text").rlike(codes.CONTENTS_ENTRY)).alias("entries"))
+        .agg(F.bool_or(name).alias("named"), F.count_if(codes.is_contents_entry("text")).alias("entries"))
         .where(F.col("named") | (F.col("entries") >= 4))
         .select("source_id", "page")
     )
@@ -32,7 +32,7 @@ def toc_pages(blocks: DataFrame) -> DataFrame:
 def _outside_contents(blocks: DataFrame, contents: DataFrame) -> DataFrame:
     text = trim_blanks("text")
     kept = blocks.withColumn("text", text).where(
-        ~F.col("text").rlike(codes.CONTENTS_ENTRY) & ~F.col("text").rlike(codes.LOT_MENTION)
+        ~codes.is_contents_entry("text") & ~codes.mentions_lot("text")
     )
     return kept.join(contents, ["source_id", "page"], "left_anti")
 
@@ -240,7 +240,7 @@ def dedupe_headings(headings: DataFrame) -> DataFrame:
     keyed = headings.withColumn("title_key", normalize_text("title")).withColumn("code_key", F.lower("code"))
     first_code = keyed.groupBy("source_id", "code").agg(F.min("pos").alias("first_pos"))
     fresh = keyed.join(first_code, ["source_id", "code"]).where(
-        (F.col("level") != 1) | (F.col("pos") == F.col("first_pos")) | F.col("title").rlike(codes.WORK_ANCHOR)
+        (F.col("level") != 1) | (F.col("pos") == F.col("first_pos")) | codes.opens_work("title")
     )
     first_title = fresh.groupBy("source_id", "code_key", "title_key").agg(F.min("pos").alias("pos"))
     kept = fresh.join(first_title.select("source_id", "pos"), ["source_id", "pos"], "left_semi")

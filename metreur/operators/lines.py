@@ -62,7 +62,7 @@ def type_lines(headings: DataFrame) -> DataFrame:
     ``headings`` carry ``next`` and the family, method and anchor_code of their perimeter.
     """
     opens = F.col("method").isin("llm_confirmed_anchor", "trade_work_anchor") | (
-        (F.col("method") == "explicit_anchor") & F.col("title").rlike(codes.WORK_ANCHOR)
+        (F.col("method") == "explicit_anchor") & codes.opens_work("title")
     )
     parent = has_child("code", "level", F.col("next.code"), F.col("next.level"))
     demolition = (F.col("family") == DEMOLITION) & (F.col("method") == "trade_work_anchor")

@@ -29,7 +29,7 @@ def score_anchors(headings: DataFrame) -> DataFrame:
     score = F.lit(0).cast("bigint")
     for k in range(DEEPEST, 0, -1):
         score = F.when(F.col("level") == k, F.col(f"deeper_{k}")).otherwise(score)
-    return counted.where(F.col("title").rlike(codes.WORK_ANCHOR)).select(*headings.columns, "part", score.alias("score"))
+    return counted.where(codes.opens_work("title")).select(*headings.columns, "part", score.alias("score"))
 
 
 def _facts(*extra):

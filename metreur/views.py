@@ -173,10 +173,18 @@ _CUT_SQL = {
 }
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A table of long texts in fewer pieces than cores is dealt out; tables in many files stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "text" not in df.columns or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table or a view over the given tables."""
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return _spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
     if name in _CUT_SQL:
         pattern = "\n" if name == "doc_lines" else "[.\n]+ *"
         return (
