@@ -78,8 +78,11 @@ def needs_style_numbering(blocks: DataFrame) -> DataFrame:
     )
 
 
-def synthesize_numbering(blocks: DataFrame, contents: DataFrame | None = None) -> DataFrame:
-    """Headings numbered from their styles, the shallowest style taken as level 1."""
+def synthesize_numbering(blocks: DataFrame, contents: DataFrame | None = None, cut=None) -> DataFrame:
+    """Headings numbered from their styles, the shallowest style taken as level 1.
+
+    ``cut`` may store the headings before they are numbered, which reads them twice.
+    """
     contents = toc_pages(blocks) if contents is None else contents
     usable = _outside_contents(
         blocks.withColumn("style_level", codes.style_level("style")).where(F.col("style_level").isNotNull()), contents
@@ -92,16 +95,18 @@ def synthesize_numbering(blocks: DataFrame, contents: DataFrame | None = None) -
         .join(shift, "source_id")
         .withColumn("level", F.col("style_level") - F.col("shift"))
     )
+    styled = styled.select(*[c for c in HEADING if c != "code"])
+    styled = cut(styled) if cut else styled
     counted = ordered.counters(styled, ["source_id"], "pos", "level", "counters")
     code = F.array_join(F.slice("counters", F.lit(1), F.col("level")).cast("array<string>"), ".")
     return counted.withColumn("code", code).select(HEADING)
 
 
-def candidate_headings(blocks: DataFrame) -> DataFrame:
+def candidate_headings(blocks: DataFrame, contents: DataFrame | None = None, cut=None) -> DataFrame:
     """Headings of each document by the way of numbering it uses."""
-    contents = toc_pages(blocks)
+    contents = toc_pages(blocks) if contents is None else contents
     by_style = synthesize_numbering(
-        blocks.join(needs_style_numbering(blocks).select("source_id"), "source_id", "left_semi"), contents
+        blocks.join(needs_style_numbering(blocks).select("source_id"), "source_id", "left_semi"), contents, cut
     )
     by_number = numbered_headings(blocks, contents).join(by_style.select("source_id").distinct(), "source_id", "left_anti")
     return by_number.unionByName(by_style)

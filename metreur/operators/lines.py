@@ -162,7 +162,7 @@ def document_warnings(
     counted = lines.groupBy("source_id").agg(F.count_if(F.col("kind") == "item").alias("items"))
     state = (
         documents.select("source_id", F.col("original_name").alias("source_name"))
-        .join(identities, "source_id")
+        .join(identities.drop("family"), "source_id")
         .join(perimeters, "source_id")
         .join(counted, "source_id", "left")
     )

@@ -35,6 +35,7 @@ def extract_lines(documents: DataFrame, blocks: DataFrame, forced: DataFrame | N
 
     ``documents``: source_id, original_name, extension, page_count.
     ``forced``: source_id, anchor_code of perimeters someone confirmed.
+    ``blocks`` are read by several steps: give a stored table.
 
     Headings and read lines are written to the checkpoint folder: each is used
     by several later steps, and a lost executor costs one step.
@@ -49,7 +50,9 @@ def extract_lines(documents: DataFrame, blocks: DataFrame, forced: DataFrame | N
         named = named.join(forced.select("source_id", F.col("anchor_code").alias("forced_code")), "source_id", "left")
     lots = cut_lineage(named)
 
-    candidates = cut_lineage(_demolition(cut_lineage(headings.candidate_headings(blocks)), lots, blocks))
+    contents = cut_lineage(headings.toc_pages(blocks))
+    written = cut_lineage(headings.candidate_headings(blocks, contents, cut_lineage))
+    candidates = cut_lineage(_demolition(written, lots, blocks))
     perimeters, selected = perimeter.select_perimeter(candidates, lots)
     perimeters, selected = cut_lineage(perimeters), cut_lineage(selected)
     trade = perimeters.where(F.col("method") == "trade_work_anchor").select("source_id")
@@ -65,12 +68,12 @@ def extract_lines(documents: DataFrame, blocks: DataFrame, forced: DataFrame | N
     anchors = kept.join(trade, "source_id", "left_semi").groupBy("source_id").agg(F.min_by("code", "pos").alias("rebuilt_code"))
     found = candidates.groupBy("source_id").agg(F.count("*").cast("int").alias("candidates"))
     inside = kept.groupBy("source_id").agg(F.count("*").cast("int").alias("inside"))
-    contents = headings.toc_pages(blocks).groupBy("source_id").agg(F.array_sort(F.collect_set("page")).alias("pages"))
+    listed = contents.groupBy("source_id").agg(F.array_sort(F.collect_set("page")).alias("pages"))
     perimeters = (
         perimeters.join(anchors, "source_id", "left")
         .join(found, "source_id", "left")
         .join(inside, "source_id", "left")
-        .join(contents, "source_id", "left")
+        .join(listed, "source_id", "left")
         .select(
             "source_id",
             "family",
@@ -87,7 +90,7 @@ def extract_lines(documents: DataFrame, blocks: DataFrame, forced: DataFrame | N
     perimeters = cut_lineage(perimeters)
     read = cut_lineage(lines.build_lines(kept, blocks, perimeters))
     complete = cut_lineage(enrich.enrich(read, lots, cut_lineage))
-    warnings = lines.document_warnings(documents, identities, perimeters, complete, blocks)
+    warnings = lines.document_warnings(documents, lots, perimeters, complete, blocks)
     return Extraction(lots, perimeters, complete, warnings)
 
 

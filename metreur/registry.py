@@ -535,7 +535,7 @@ def d16_list_headings(v):
 
 
 def _extraction(v):
-    return extract_lines(v.spec_documents, v.spec_blocks)
+    return extract_lines(v.spec_documents, cut_lineage(v.spec_blocks))
 
 
 @query
@@ -645,9 +645,10 @@ def e3_fill_missing_units(v):
 
 @query
 def e4_retry_perimeter(v):
-    first = _extraction(v)
+    blocks = cut_lineage(v.spec_blocks)
+    first = extract_lines(v.spec_documents, blocks)
     guess = v.spec_documents.select("source_id", F.lit("2.1").alias("anchor_code"))
-    again = retry_perimeter(v.spec_documents, v.spec_blocks, first, guess)
+    again = retry_perimeter(v.spec_documents, blocks, first, guess)
     return again.perimeters.select("source_id", "method", "anchor_code", "selected_heading_count")
 
 
@@ -774,7 +775,8 @@ def a4_bill_totals(v):
 
 @query
 def a4_bill_rollup(v):
-    rows = rollup.bill_rollup(v.bill_lines)
+    # the bills are read several times: stored once, as they would be
+    rows = rollup.bill_rollup(cut_lineage(v.bill_lines))
     return rows.select("source_id", "row_kind", "code", F.round("amount", 2).cast("double").alias("amount"))
 
 

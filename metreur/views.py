@@ -174,9 +174,9 @@ _CUT_SQL = {
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """A table of long texts in fewer pieces than cores is dealt out; tables in many files stay as they are."""
+    """A large table in fewer pieces than cores is dealt out; tables in many files stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if "text" not in df.columns or df.rdd.getNumPartitions() >= cores:
+    if not {"text", "l_orderkey"} & set(df.columns) or df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
 
