@@ -1,8 +1,12 @@
-"""Session settings and lineage cutting."""
+"""Session settings, lineage cutting and shipping of the package."""
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +17,7 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+_shipped: set[str] = set()
 
 
 def local_session(cores: int = 8, shuffle_partitions: int | None = None) -> SparkSession:
@@ -24,22 +29,47 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None) -> Spar
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and forget its plan.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as named in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local session without one gets a temporary folder.
+    A session on one machine may leave the setting out; it then gets a temporary
+    folder that is removed when the process ends. A cluster must set it.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
+            if context.master.partition("[")[0] != "local":
                 raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
             folder = tempfile.mkdtemp(prefix="metreur-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and forget its plan."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which may run anywhere. Once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="metreur-package-"), "metreur.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.join("metreur", os.path.relpath(path, root)))
+    context.addPyFile(target)
+    _shipped.add(context.applicationId)
