@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metreur.llm import decontaminate
+from metreur.llm import decontaminate, pii
 from metreur.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,11 @@ def query(build):
     return build
 
 
+@query
+def op1_pii(spark, sf_dir):
+    return pii.report(read(spark, sf_dir, "documents"))
+
+
 @query
 def op2_decontaminate(spark, sf_dir):
     found = decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
