@@ -267,7 +267,7 @@ def redact(docs: DataFrame, *, text: str = "text", length: str | None = "n_chars
         ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["kind"])))
 
         def joined(o):
-            ends = running(F.transform(o, lambda s: s["end"]), F.greatest)
+            ends = running(F.transform(o, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
 
             def piece(s, before):
                 new = s["start"] >= before

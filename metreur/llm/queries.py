@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metreur.llm import decontaminate, pii
+from metreur.llm import decontaminate, packing, pii
 from metreur.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,8 @@ def op1_pii(spark, sf_dir):
 def op2_decontaminate(spark, sf_dir):
     found = decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.drop("items")
+
+
+@query
+def op7_pack(spark, sf_dir):
+    return packing.pack(read(spark, sf_dir, "documents"))
