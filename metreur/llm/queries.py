@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metreur.llm import decontaminate, packing, pii
+from metreur.llm import decontaminate, packing, pii, secrets
 from metreur.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,11 @@ def op2_decontaminate(spark, sf_dir):
     return found.drop("items")
 
 
+@query
+def op6_secrets(spark, sf_dir):
+    return secrets.report(read(spark, sf_dir, "documents"))
+
+
 @query
 def op7_pack(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"))
