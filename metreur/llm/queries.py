@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metreur.llm import decontaminate, packing, pii, quality, secrets
+from metreur.llm import decontaminate, neardup, packing, pii, quality, secrets
 from metreur.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,11 @@ def op3_quality(spark, sf_dir):
     return quality.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+@query
+def op5_neardup(spark, sf_dir):
+    return neardup.grouped(read(spark, sf_dir, "documents"))
+
+
 @query
 def op6_secrets(spark, sf_dir):
     return secrets.report(read(spark, sf_dir, "documents"))
