@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metreur.llm import decontaminate, neardup, packing, pii, quality, secrets
+from metreur.llm import decontaminate, neardup, packing, pii, quality, secrets, warc
 from metreur.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,19 @@ def op6_secrets(spark, sf_dir):
 @query
 def op7_pack(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"))
+
+
+@query
+def op8_warc(spark, sf_dir):
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
+CHECKS["op8_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, sha1(html) AS digest, octet_length(encode(html)) AS bytes FROM p),
+c AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS last FROM d)
+SELECT page_id, bytes AS payload_bytes, digest AS payload_digest,
+       CASE WHEN bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN bytes >= 1000 AND page_id < last THEN last END AS refers_to
+FROM c
+"""
