@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metreur.llm import decontaminate, neardup, packing, pii, quality, secrets, warc
+from metreur.llm import chat, decontaminate, neardup, packing, pii, quality, secrets, warc
 from metreur.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,8 @@ SELECT page_id, bytes AS payload_bytes, digest AS payload_digest,
        CASE WHEN bytes >= 1000 AND page_id < last THEN last END AS refers_to
 FROM c
 """
+
+
+@query
+def op10_chat(spark, sf_dir):
+    return chat.repair(read(spark, sf_dir, "conversations"))
