@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metreur.llm import chat, decontaminate, neardup, packing, pii, quality, secrets, topk, warc
+from metreur.llm import chat, decontaminate, neardup, order, packing, pii, quality, secrets, topk, warc
 from metreur.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,8 @@ s AS (
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+
+@query
+def op9_order(spark, sf_dir):
+    return order.report(read(spark, sf_dir, "documents"))

@@ -1,67 +1,124 @@
-"""Token ids of whole texts, with the ids of recurring pieces kept per worker.
+"""Token ids of whole texts by public tokenizers, for use inside tasks.
 
-Both tokenizers used here cut a text at white space before they look for merges,
-so a text's ids are those of its pieces one after the other. Pieces recur, so
-their ids are kept in a bounded table; only new pieces reach the tokenizer.
+:class:`WordIds` serves tokenizer files that cut texts at white space, lower them and
+mark word ends (``word_bpe_49k.json``). A text's ids are those of its pieces between white
+space, one after the other, and pieces recur, so a worker keeps the ids of the first
+``KEPT`` it meets. A new piece is encoded by the same merges in tiktoken, where the end of
+a word is a character of its own that is merged first; pieces with letters beyond
+Latin or with special tokens go to the tokenizer itself.
+
+:class:`ByteIds` serves files of byte-level ranks (``*.tiktoken``).
 """
 
 from __future__ import annotations
 
+import base64
+import json
 import re
+import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
 from metreur.llm.common import tokenizer_file
 
-#: Pieces whose ids a worker keeps (about 100 bytes each); the table starts anew when full.
-KEPT = 400_000
-#: White space of ASCII: both tokenizers drop or split at each of these.
+#: Pieces whose ids a worker keeps (some 150 bytes each).
+KEPT = 500_000
+#: Stands for the end of a word; pieces that hold it are left to the tokenizer itself.
+_END = "\ue000"
+_SHIFT = 1000
+#: Where the fast way may differ: beyond Latin Extended-B, and special tokens.
+_ODD = re.compile("[^\x00-\u024f]|<\\|")
 _SPACE = re.compile("[ \t\n\r]+")
 
 
-class Pieces:
-    """Ids of texts by a tokenizer file; ``spaced``: a space belongs to the piece after it."""
+def _byte_letters() -> dict[str, int]:
+    """The printable letter that stands for each byte in vocabulary files of byte-level tokenizers."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
 
-    def __init__(self, path: str, spaced: bool, kept: int = KEPT):
+class WordIds:
+    def __init__(self, path: str, kept: int = KEPT):
+        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.spaced, self.kept = spaced, kept
+        self.kept = kept
         self.table: dict[str, bytes] = {}
-
-    def _cut(self, text: str) -> list[str]:
-        if not self.spaced:
-            return [p for p in _SPACE.split(text) if p]
-        # A piece is a space and what follows it. Runs of white space are kept whole by the
-        # tokenizer's own rule, so a text with any besides single spaces is cut at those only
-        # where a single space stands between other characters.
-        return _LONE.split(text)
+        with open(path, encoding="utf-8") as file:
+            said = json.load(file)
+        letters, suffix = _byte_letters(), said["model"]["end_of_word_suffix"]
+        special = {t["content"] for t in said["added_tokens"]}
+        end = _END.encode()
+        ranks = {}
+        for token, number in said["model"]["vocab"].items():
+            if token not in special:
+                ended = token.endswith(suffix)
+                raw = bytes(letters[c] for c in (token[: -len(suffix)] if ended else token))
+                ranks[raw + end * ended] = number + _SHIFT
+        ranks |= {end[:2]: 0, end: 1}  # in place of letters that the fast way never sees
+        pattern = next(p["pattern"]["Regex"] for p in said["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self._word = regex.compile(pattern + "|\n")
+        self._encoding = tiktoken.Encoding("words", pat_str=f"[^{_END}]+{_END}", mergeable_ranks=ranks, special_tokens={})
+        self._line = ranks[b"\n" + end]
+
+    def encoded(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces without white space, by piece."""
+        plain, found = pieces, {}
+        if _ODD.search(" ".join(pieces)):
+            plain = [p for p in pieces if not _ODD.search(p)]
+            for p in {*pieces}.difference(plain):
+                found[p] = array("I", self.tokenizer.encode(p, add_special_tokens=False).ids).tobytes()
+        if plain:
+            # One text for all: a line end after each piece becomes a token of its own that tells where the piece ends.
+            lines = "\n".join(plain) + "\n"
+            if not lines.isascii():
+                lines = unicodedata.normalize("NFC", lines)
+            words = self._word.findall(lines.lower())
+            every = np.array(self._encoding.encode_ordinary(_END.join(words) + _END), np.uint32)
+            ids, at = (every - np.uint32(_SHIFT)).tobytes(), 0
+            for p, stop in zip(plain, (4 * np.flatnonzero(every == self._line)).tolist(), strict=True):
+                found[p] = ids[at:stop]
+                at = stop + 4
+        return found
 
     def ids(self, text: str | None) -> np.ndarray:
-        """Token ids (unsigned 32 bit) without special tokens; null and empty have none."""
+        """Token ids (unsigned 32 bit) without special tokens around; null and empty have none."""
         if not text:
             return np.zeros(0, np.uint32)
-        pieces = self._cut(text)
-        table = self.table
-        try:
-            return np.frombuffer(b"".join([table[p] for p in pieces]), np.uint32)
-        except KeyError:
-            pass
-        new = list({p for p in pieces if p not in table})
-        if len(table) + len(new) > self.kept:
-            table.clear()
-            new = list(set(pieces))
-        for piece, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            table[piece] = np.array(found.ids, np.uint32).tobytes()
-        return np.frombuffer(b"".join([table[p] for p in pieces]), np.uint32)
+        if "<|" in text:  # a special token may hold white space or reach past it
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        # str.split() also cuts at these four, which are no white space to the tokenizer.
+        pieces = _SPACE.split(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+        found = list(map(self.table.get, pieces))
+        if None in found:
+            new = self.encoded(list({p for p, f in zip(pieces, found, strict=True) if f is None}))
+            if len(self.table) + len(new) <= self.kept:
+                self.table.update(new)
+            found = [new[p] if f is None else f for p, f in zip(pieces, found, strict=True)]
+        return np.frombuffer(b"".join(found), np.uint32)
+
+
+class ByteIds:
+    def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as file:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        self.encoding = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.size = len(ranks)
 
-
-#: Before a single space between two other characters.
-_LONE = re.compile(r"(?<=\S)(?= \S)")
+    def ids(self, text: str | None) -> np.ndarray:
+        return np.array(self.encoding.encode_ordinary(text) if text else [], np.uint32)
 
 
 @lru_cache(maxsize=4)
-def pieces(name: str, spaced: bool) -> Pieces:
-    """One table per worker and tokenizer; ``name`` is a public tokenizer's file name or a path."""
-    return Pieces(name if "/" in name else tokenizer_file(name), spaced)
+def tokenizer(name: str) -> WordIds | ByteIds:
+    """One per worker; ``name`` is a public tokenizer's file name or a path."""
+    path = name if "/" in name else tokenizer_file(name)
+    return ByteIds(path) if path.endswith(".tiktoken") else WordIds(path)
