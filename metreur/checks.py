@@ -262,7 +262,8 @@ check("p6_sanitize_rejects", "SELECT line_id, 'beaucoup' AS quantity FROM typed_
 
 check("d1_toc_pages", f"WITH {TOC_PAGES} SELECT * FROM toc", "spec_blocks")
 check("d2_lot_identity", r"""WITH cover AS (
-    SELECT source_id, lpad(CAST(n % 9 + 1 AS VARCHAR), 2, '0') AS text_code, trim('Travaux ' || substr(text, 1, 5), ' -–—:.;') AS text_title FROM sentences WHERE pos = 1)
+    SELECT source_id, lpad(CAST(n % 9 + 1 AS VARCHAR), 2, '0') AS text_code,
+           """ + clean("regexp_extract('Travaux ' || text, '^[^|\n]{3,100}')") + r""" AS text_title FROM sentences WHERE pos = 1)
     SELECT source_id, CASE WHEN length(lot_code) = 1 THEN '0' || lot_code ELSE lot_code END AS lot_code,
            CASE WHEN text_code <> lpad(lot_code, 2, '0') THEN trim(regexp_replace(regexp_replace(lot_title, '[_\-]+', ' ', 'g'), '\s+', ' ', 'g')) ELSE text_title END AS lot_title,
            CASE WHEN text_code <> lpad(lot_code, 2, '0') THEN text_code END AS conflict_code,

@@ -17,11 +17,13 @@ Lists are worked off without all pairs:
    any such list has are counted. They bound every overlap of that member exactly,
    and members that can reach 0.75 with nobody leave.
 3. The most typical member outside the largest component is compared in the same way.
-4. What is left outside the largest component of its list is compared with all
-   members of the list whose size and bound allow 0.75.
+4. What is left outside the largest component of its list has been counted against a
+   typical member, its reference. It can agree with a text of some size only by shingles
+   that the reference lacks, or else the text is smaller than a bound. The first are
+   found by those few shingles, the second in the lists, by size.
 
-Every comparison first estimates the Jaccard similarity from the sketch of the union
-and, where that leaves it open, counts on the full sets.
+Before a comparison of the last kind counts on the full sets, the Jaccard similarity
+is estimated from the sketch of the union, and pairs that are clearly apart go.
 """
 
 from __future__ import annotations
@@ -100,22 +102,50 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[float, int]:
     return both.sum() / max(len(union), 1), len(union)
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """100 * intersection >= 75 * union, on whole sets; the union's sketch may tell before."""
-    if 4 * min(len(a), len(b)) < 3 * max(len(a), len(b)):
-        return False
+def apart(a: np.ndarray, b: np.ndarray) -> bool:
+    """The union's sketch shows less than 0.75, by six standard deviations."""
     share, size = estimate(a, b)
-    if share < 0.75 - 6 * (0.75 * 0.25 / max(size, 1)) ** 0.5:
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= 75 * (len(a) + len(b) - both)
+    return share < 0.75 - 6 * (0.75 * 0.25 / max(size, 1)) ** 0.5
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _set(x) -> np.ndarray:
+    return np.frombuffer(x.as_buffer(), np.int64)
+
+
+def _confirm(estimated: bool):
+    """(a, b, both, good): shingles that both sets have, and whether 100 * intersection >= 75 * union.
+
+    ``estimated``: pairs that are apart by their sketches are left out uncounted.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, both, good = [], [], []
+            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                left, right = _set(x), _set(y)
+                if estimated and apart(left, right):
+                    continue
+                n = len(np.intersect1d(left, right, assume_unique=True))
+                keep.append(k)
+                both.append(n)
+                good.append(100 * n >= 75 * (len(left) + len(right) - n))
+            rows = batch.select([0, 1]).take(pa.array(keep, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(both, pa.int64()), pa.array(good, pa.bool_())], names=["a", "b", "both", "good"])
+
+    return run
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, shingle) of sets, less those of the reference if there is one."""
     for batch in batches:
-        left, right = batch.column(2), batch.column(3)
-        good = [alike(np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)) for x, y in zip(left, right, strict=True)]
-        yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+        sets = [_set(x) for x in batch.column(1)]
+        if batch.num_columns > 2:
+            sets = [np.setdiff1d(x, _set(y), assume_unique=True) for x, y in zip(sets, batch.column(2), strict=True)]
+        reps = batch.column(0).take(pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets])))
+        yield pa.RecordBatch.from_arrays([reps, pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))], names=["rep", "shingle"])
+
+
+_SPREAD = "rep bigint, shingle bigint"
 
 
 @contextmanager
@@ -174,7 +204,7 @@ class _Linker:
     def __init__(self, docs: DataFrame, id: str, text: str):
         self.docs = docs.select(F.col(id).alias("rep"), F.col(text).alias("text"))
         self.spark = docs.sparkSession
-        self.edges: DataFrame | None = None
+        self.counted: DataFrame | None = None
 
     def lists(self, classes: DataFrame) -> DataFrame:
         """(value, rep, n, typical): the entries of the lists that have two members or more."""
@@ -198,15 +228,15 @@ class _Linker:
         ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
         self.sets = cut_lineage(self.docs.join(ids, "rep", "left_semi").mapInArrow(_sets, "rep bigint, whole binary"))
 
-    def compare(self, pairs: DataFrame) -> None:
-        """Confirm pairs (a, b) and add them to the edges."""
+    def compare(self, pairs: DataFrame, estimated: bool = False) -> None:
+        """Count pairs (a, b); those that agree become edges."""
         one = self.sets.select(F.col("rep").alias("a"), F.col("whole").alias("left"))
         two = self.sets.select(F.col("rep").alias("b"), F.col("whole").alias("right"))
         met = pairs.select("a", "b").distinct().join(one, "a").join(two, "b").select("a", "b", "left", "right")
         with _batches(self.spark, BATCH):
-            good = cut_lineage(met.mapInArrow(_confirm, "a bigint, b bigint"))
-        self.edges = good if self.edges is None else cut_lineage(self.edges.unionByName(good))
-        self.parts = components(self.edges)
+            got = cut_lineage(met.mapInArrow(_confirm(estimated), "a bigint, b bigint, both bigint, good boolean"))
+        self.counted = got if self.counted is None else self.counted.unionByName(got)
+        self.parts = components(self.counted.where("good"))
 
     def open(self, entries: DataFrame) -> DataFrame:
         """Entries with their component, of lists that hold more than one; ``outside``: not in the list's largest."""
@@ -226,28 +256,38 @@ class _Linker:
     def bounded(self, entries: DataFrame) -> DataFrame:
         """Entries with ``m``, their shingles that another member of an open list has; without those that reach 0.75 with nobody."""
         ids = entries.select("rep").distinct()
-        schema = "rep bigint, shingle bigint"
-
-        def spread(batches):
-            for batch in batches:
-                sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))], names=["rep", "shingle"])
-
         with _batches(self.spark, BATCH):
-            alone = self.sets.join(ids, "rep", "left_semi").mapInArrow(spread, schema).groupBy("shingle").agg(F.count("*").alias("df"), F.min("rep").alias("rep")).where("df = 1")
-            alone = cut_lineage(alone.groupBy("rep").agg(F.count("*").alias("u")))
+            self.spread = cut_lineage(self.sets.join(ids, "rep", "left_semi").mapInArrow(_spread, _SPREAD))
+        alone = self.spread.groupBy("shingle").agg(F.count("*").alias("df"), F.min("rep").alias("rep")).where("df = 1")
+        alone = cut_lineage(alone.groupBy("rep").agg(F.count("*").alias("u")))
         found = entries.join(alone, "rep", "left").withColumn("m", F.col("n") - F.coalesce("u", F.lit(0))).drop("u")
         return cut_lineage(found.where("4 * m >= 3 * n"))
 
-    @staticmethod
-    def rest(entries: DataFrame) -> DataFrame:
+    def rest(self, entries: DataFrame) -> DataFrame:
         """Pairs of an outside member with any member of another component that the bounds allow."""
-        near = F.sequence(_bucket(F.col("n") * 3 / 4) - 1, _bucket(F.least(F.col("n") * 4 / 3, F.col("m") * 7 / 3 - F.col("n"))) + 1)
-        asks = entries.where("outside and m * 7 / 3 - n >= n * 3 / 4").select("*", F.explode(near).alias("bucket")).alias("x")
-        all_ = entries.withColumn("bucket", _bucket(F.col("n"))).alias("y")
-        on = (F.col("x.value") == F.col("y.value")) & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp")) & _fits("x", "y")
-        on = on & (~F.col("y.outside") | (F.col("x.rep") < F.col("y.rep")) | (F.col("y.m") * 7 / 3 - F.col("y.n") < F.col("y.n") * 3 / 4))
-        return asks.join(all_, on).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+        both = self.counted.select("a", "b", "both").unionByName(self.counted.select(F.col("b").alias("a"), F.col("a").alias("b"), "both"))
+        seen = both.groupBy(F.col("a").alias("rep")).agg(F.max(F.struct("both", "b")).alias("ref"))
+        asks = entries.where("outside and m * 7 / 3 - n >= n * 3 / 4").join(seen, "rep", "left")
+        # Above this size a text must share what the reference lacks: 7 * both < 3 * (n + size).
+        asks = cut_lineage(asks.withColumn("limit", F.floor(F.coalesce(F.col("ref.both"), F.col("m")) * 7 / 3 - F.col("n"))).select("*", F.col("ref.both").alias("both"), F.col("ref.b").alias("h")).drop("ref"))
+
+        low, high = _bucket(F.col("n") * 3 / 4) - 1, _bucket(F.greatest(F.lit(1), F.least(F.col("n") * 4 / 3, F.col("m") * 7 / 3 - F.col("n"), F.col("limit"))))
+        x = asks.where("limit >= n * 3 / 4").select("*", F.explode(F.sequence(low, F.greatest(low, high + 1))).alias("bucket")).alias("x")
+        y = entries.withColumn("bucket", _bucket(F.col("n"))).alias("y")
+        on = (F.col("x.value") == F.col("y.value")) & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp")) & _fits("x", "y") & (F.col("y.n") <= F.col("x.limit"))
+        small = x.join(y, on).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+
+        who = asks.where("h is not null").select("rep", "n", "m", "comp", "h", "both").distinct()
+        mine = who.select("rep", "h").join(self.sets, "rep").join(self.sets.select(F.col("rep").alias("h"), F.col("whole").alias("other")), "h").select("rep", "whole", "other")
+        with _batches(self.spark, BATCH):
+            extra = cut_lineage(mine.mapInArrow(_spread, _SPREAD))
+        members = entries.select("rep", "n", "m", "comp").distinct()
+        others = self.spread.withColumnRenamed("rep", "b").join(extra.select("shingle").distinct(), "shingle")
+        shared = extra.join(others, "shingle").where("rep <> b").groupBy("rep", "b").agg(F.count("*").alias("shared"))
+        x, y = who.alias("x"), members.alias("y")
+        met = shared.join(x, "rep").join(y, F.col("b") == F.col("y.rep")).where((F.col("x.comp") != F.col("y.comp")) & _fits("x", "y"))
+        large = met.where((F.col("x.both") + F.col("shared")) * 7 >= (F.col("x.n") + F.col("y.n")) * 3).select(F.col("x.rep").alias("a"), "b")
+        return small.unionByName(large).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     def run(self, classes: DataFrame) -> DataFrame:
         entries = self.lists(classes)
@@ -261,7 +301,7 @@ class _Linker:
             self.compare(self.stars(left, F.col("outside")))
             left = self.open(left)
         if not left.isEmpty():
-            self.compare(self.rest(left))
+            self.compare(self.rest(left), estimated=True)
         return self.parts
 
 

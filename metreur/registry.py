@@ -399,7 +399,7 @@ def d1_toc_pages(v):
 @query
 def d2_lot_identity(v):
     # the cover of half the lots was copied from another
-    cover = F.when(F.col("pos") == 1, F.concat(F.lit("CCTP Lot n°"), (F.col("n") % 9 + 1).cast("string"), F.lit(" – Travaux "), F.substring("text", 1, 5)))
+    cover = F.when(F.col("pos") == 1, F.concat(F.lit("CCTP Lot n°"), (F.col("n") % 9 + 1).cast("string"), F.lit(" – Travaux "), "text"))
     blocks = v.sentences.withColumn("text", F.coalesce(cover, F.col("text")))
     return headings.lot_identity(v.spec_documents, blocks)
 

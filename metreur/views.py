@@ -67,8 +67,8 @@ VIEWS = {
     # the same sentences taken as headings already found
     "spec_headings": f"""
         SELECT source_id, pos, {_CODE} AS code, {_LEVEL} AS level,
-               CASE WHEN n % 11 = 0 THEN 'Description des ouvrages ' || substr(text, 1, 6)
-                    WHEN n % 4 = 0 THEN {_WORK} ELSE {_WORK} || ' ' || substr(text, 1, 8) END AS title,
+               CASE WHEN n % 11 = 0 THEN 'Description des ouvrages ' || text
+                    WHEN n % 4 = 0 THEN {_WORK} ELSE {_WORK} || ' ' || text END AS title,
                CAST(floor((pos - 1) / 12) AS INT) + 1 AS page,
                CASE WHEN n % 6 = 0 THEN 'pdf_merged_heading' WHEN n % 6 = 1 THEN 'pdf_line' ELSE 'paragraph' END AS source_kind,
                CAST(9 + n % 4 AS DOUBLE) AS font_size, n % 3 = 0 AS bold, n
@@ -173,18 +173,10 @@ _CUT_SQL = {
 }
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """A large table in fewer pieces than cores is dealt out; tables in many files stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if not {"text", "l_orderkey"} & set(df.columns) or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table or a view over the given tables."""
     if name in TABLES:
-        return _spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if name in _CUT_SQL:
         pattern = "\n" if name == "doc_lines" else "[.\n]+ *"
         return (
