@@ -113,7 +113,8 @@ NEEDS = f"""needs AS (
 check("s1_manifest", r"""
     SELECT source AS dossier_id,
            regexp_replace(trim('a_' || doc_id || ext, ' .'), '[:]', '_') AS original_name, lower(ext) AS extension,
-           CAST(length(text) AS BIGINT) AS size, sha256(text) AS sha256,
+           CAST(length(text) AS BIGINT) AS size,
+           CASE WHEN lower(ext) IN ('.pdf', '.docx') AND length(text) <= 83886080 THEN sha256(text) END AS sha256,
            CASE WHEN lower(ext) NOT IN ('.pdf', '.docx') THEN 'format' WHEN length(text) > 83886080 THEN 'size'
                 WHEN row_number() OVER (PARTITION BY source, lower(ext) IN ('.pdf', '.docx') AND length(text) <= 83886080
                                         ORDER BY 'corpus/' || source || '/a:' || doc_id || ext) > 30 THEN 'count' END AS reject_reason
@@ -512,7 +513,9 @@ check("a9_lot_counters", """SELECT CAST(l_orderkey AS VARCHAR) AS source_id, cou
 
 check("o1_order_lots", f"""WITH d AS (SELECT *, {norm('lot_title')} AS t FROM spec_documents)
     SELECT source_id, CAST(lot_code AS INT) AS code_number, CAST({first_rule('t', [(p, r) for _, r, p in catalogue.LOT_FAMILY_RULES], "'99'")} AS INT) AS family_rank,
-           lower(lot_title) AS title_key FROM d""", "spec_documents")
+           lower(lot_title) AS title_key,
+           CAST(rank() OVER (ORDER BY CAST(lot_code AS INT), CAST({first_rule('t', [(p, r) for _, r, p in catalogue.LOT_FAMILY_RULES], "'99'")} AS INT), lower(lot_title)) AS INT) AS place
+    FROM d""", "spec_documents")
 check("o2_insert_by_code", f"""WITH known AS (SELECT * FROM typed_lines WHERE kind = 'item'), fresh AS (SELECT * REPLACE ('new_' || line_id AS line_id) FROM typed_lines WHERE kind = 'section'),
     {inserted('known', 'fresh', 'line_id, source_id')} SELECT line_id, source_id, pos FROM ranked""", "typed_lines")
 check("o3_newest_first", "SELECT dossier_id, updated_at FROM dossiers", "dossiers")

@@ -365,9 +365,15 @@ def enrich(lines: DataFrame, lots: DataFrame, cut=None) -> DataFrame:
 
 
 def fill_missing_units(lines: DataFrame, suggestions: DataFrame, lots: DataFrame) -> DataFrame:
-    """Suggested units for the items whose unit is a default; other suggestions are dropped."""
-    usable = suggestions.where(F.col("unit").isin(*catalogue.SUGGESTED_UNITS)).select(
-        "line_id", F.col("unit").alias("suggested")
+    """Suggested units for the items whose unit is a default; other suggestions are dropped.
+
+    Of several usable ones for a line the last by ``seq`` counts, or, without it, the last by name.
+    """
+    order = "seq" if "seq" in suggestions.columns else "unit"
+    usable = (
+        suggestions.where(F.col("unit").isin(*catalogue.SUGGESTED_UNITS))
+        .groupBy("line_id")
+        .agg(F.max_by("unit", order).alias("suggested"))
     )
     joined = lines.join(usable, "line_id", "left").join(lots.select("source_id", "family"), "source_id", "left")
     takes = (F.col("kind") == "item") & (F.col("unit_source") == "default") & F.col("suggested").isNotNull()
@@ -467,10 +473,14 @@ def flag_co_occurrence(parents: DataFrame, children: DataFrame, min_projects: in
     """(concept, extra) pairs found together in several projects.
 
     ``parents``: project, concept; ``children``: project, extra. Distinct per
-    project first: only distinct concepts and extras of a project meet.
+    project first, and what fewer projects hold than a pair needs never meets.
     """
-    left = parents.select("project", "concept").distinct()
-    right = children.select("project", "extra").distinct()
+
+    def frequent(rows: DataFrame, name: str) -> DataFrame:
+        rows = rows.select("project", name).distinct()
+        return rows.join(rows.groupBy(name).agg(F.count("*").alias("__in")).where(F.col("__in") >= min_projects).select(name), name)
+
+    left, right = frequent(parents, "concept"), frequent(children, "extra")
     return (
         left.join(right, "project")
         .groupBy("concept", "extra")

@@ -88,7 +88,7 @@ def similar_line_pairs(generated: DataFrame, reference: DataFrame, min_score: fl
     """Pairs of distinct normalised texts alike by ``min_score`` or more: pair, gen_text, ref_text, score."""
     near = shared_vocabulary(generated, reference, 2 * min_score - 1)
     hopeful = near.where((ratio_ceiling("gen_text", "ref_text") + F.col("overlap")) / 2 >= min_score - _MARGIN)
-    scored = hopeful.withColumn("score", (sequence_ratio("gen_text", "ref_text") + F.col("overlap")) / 2)
+    scored = hopeful.withColumn("score", (sequence_ratio("gen_text", "ref_text") + F.col("overlap")) / 2)  # once: not deterministic for the planner
     return scored.where(F.col("score") >= min_score).select("pair", "gen_text", "ref_text", "score")
 
 

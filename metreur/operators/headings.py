@@ -168,11 +168,13 @@ def drop_sans_objet(headings: DataFrame, blocks: DataFrame) -> DataFrame:
     return headings.join(void, ["source_id", "pos"], "left_anti")
 
 
-def renumber_under(headings: DataFrame, root: str = "3") -> DataFrame:
-    """Codes rebuilt in document order below ``root``."""
+def renumber_under(headings: DataFrame, root: str = "3", depth: int = 12) -> DataFrame:
+    """Codes rebuilt in document order below ``root``. Levels more than ``depth`` below the highest are refused."""
     base = headings.groupBy("source_id").agg(F.min("level").alias("base_level"))
-    leveled = headings.join(base, "source_id").withColumn("relative", F.col("level") - F.col("base_level") + 1)
-    counted = ordered.counters(leveled, ["source_id"], "pos", "relative", "counters")
+    relative = F.col("level") - F.col("base_level") + 1
+    refused = F.raise_error(F.lit(f"a heading lies more than {depth} levels deep")).cast("int")
+    leveled = headings.join(base, "source_id").withColumn("relative", F.when(relative > depth, refused).otherwise(relative))
+    counted = ordered.counters(leveled, ["source_id"], "pos", "relative", "counters", depth)
     tail = F.slice("counters", F.lit(1), F.col("relative")).cast("array<string>")
     return (
         counted.withColumn("code", F.array_join(F.concat(F.array(F.lit(root)), tail), "."))

@@ -53,9 +53,17 @@ def sanitize_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return clean, named.where(refused)
 
 
+def _once(previous: DataFrame) -> DataFrame:
+    """One row per line: the last by ``seq``, or, without it, by the stored fields."""
+    columns = [c for c in previous.columns if c != "line_id"]
+    order = F.col("seq") if "seq" in columns else F.struct(F.coalesce("user_edited", F.lit(False)), *EDITABLE)
+    last = previous.groupBy("line_id").agg(F.max_by(F.struct(*columns), order).alias("__last"))
+    return last.select(*[F.col(c) if c == "line_id" else F.col(f"__last.{c}") for c in previous.columns])
+
+
 def detect_edits(lines: DataFrame, previous: DataFrame) -> DataFrame:
-    """Mark the lines whose editable fields differ from what was stored."""
-    before = previous.select("line_id", F.col("user_edited").alias("__was"), F.struct(*EDITABLE).alias("__before"))
+    """Mark the lines whose editable fields differ from what was stored; of a line stored twice the last counts."""
+    before = _once(previous).select("line_id", F.col("user_edited").alias("__was"), F.struct(*EDITABLE).alias("__before"))
     joined = lines.join(before, "line_id", "left")
     same = F.lit(True)
     for name in EDITABLE:
@@ -69,8 +77,9 @@ def overlay_edits(lines: DataFrame, previous: DataFrame) -> DataFrame:
     """Extracted lines with stored edits laid over them and manual lines put back in code order.
 
     All editable fields come back. ``previous`` may carry ``deleted``: lines so
-    marked stay away.
+    marked stay away. Of a line stored twice the last counts.
     """
+    previous = _once(previous)
     if "deleted" in previous.columns:
         gone = previous.where(F.col("deleted")).select("line_id")
         lines = lines.join(gone, "line_id", "left_anti")
@@ -142,7 +151,9 @@ def insert_by_code(lines: DataFrame, new: DataFrame) -> DataFrame:
     )
     uncoded = trim_blanks(F.coalesce("code", F.lit(""))) == ""
     together = Window.partitionBy("source_id", "__slot").orderBy(uncoded, natural_code_key("code"), "pos", "line_id")
-    put = put.withColumn("__slot", F.col("__slot") + F.row_number().over(together) - room // 2)
+    full = F.raise_error(F.lit(f"more than {room // 2} new lines at one place")).cast("int")
+    put = put.withColumn("__turn", F.row_number().over(together))
+    put = put.withColumn("__slot", F.col("__slot") + F.when(F.col("__turn") >= room // 2, full).otherwise(F.col("__turn")) - room // 2)
     slotted = lines.withColumn("__slot", F.col("pos").cast("bigint") * room).unionByName(put.select(*lines.columns, "__slot"))
     ranked = ordered.numbered(slotted.drop("pos"), ["source_id"], "__slot", "pos", sparse=True)
     return ranked.select(lines.columns)

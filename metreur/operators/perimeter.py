@@ -10,7 +10,8 @@ from metreur.functions.text import normalize_text
 from metreur.operators import ordered
 
 DEMOLITION = "desamiantage_demolition"
-DEEPEST = 8
+#: Deepest heading level; headings below it are refused.
+DEEPEST = 12
 
 
 def _with_part(headings: DataFrame) -> DataFrame:
@@ -26,7 +27,8 @@ def score_anchors(headings: DataFrame) -> DataFrame:
     backwards = _with_part(headings).withColumn("back", -F.col("pos"))
     deeper = {f"deeper_{k}": (F.col("level") > k).cast("bigint") for k in range(1, DEEPEST + 1)}
     counted = ordered.running(backwards, ["source_id", "part"], "back", sums=deeper, strict=True)
-    score = F.lit(0).cast("bigint")
+    refused = F.raise_error(F.lit(f"a heading lies deeper than level {DEEPEST}")).cast("bigint")
+    score = F.when(F.col("level") > DEEPEST, refused).otherwise(F.lit(0).cast("bigint"))
     for k in range(DEEPEST, 0, -1):
         score = F.when(F.col("level") == k, F.col(f"deeper_{k}")).otherwise(score)
     return counted.where(codes.opens_work("title")).select(*headings.columns, "part", score.alias("score"))

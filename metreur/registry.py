@@ -7,16 +7,17 @@ with where one can say the same.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from metreur.functions import codes, similarity, text, units
 from metreur.operators import enrich, evaluate, headings, lines, listing, ordered, overlay, perimeter, rollup, stats
 from metreur.plans import evaluation
 from metreur.plans.extract import extract_lines, retry_perimeter
-from metreur.session import cut_lineage
+from metreur.session import checkpoint_folder, cut_lineage, ship_package
 from metreur.sources import bills, contract, layout, manifest
 from metreur.views import table
 
@@ -34,7 +35,11 @@ class Views:
 
 
 def query(build: Callable[[Views], DataFrame]):
-    QUERIES[build.__name__] = lambda spark, sf_dir: build(Views(spark, sf_dir))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return build(Views(spark, sf_dir))
+
+    QUERIES[build.__name__] = run
     return build
 
 
@@ -821,11 +826,17 @@ def a9_lot_counters(v):
 
 @query
 def o1_order_lots(v):
-    keyed = listing.lot_order(v.spec_documents.select("source_id", "lot_code", "lot_title"))
-    # the order itself is shown as the lot that comes just before
-    return keyed.select(
-        "source_id", F.get("code_key", F.lit(0))["number"].cast("int").alias("code_number"), "family_rank", "title_key"
-    ).orderBy("code_number", "family_rank", "title_key")
+    lots = v.spec_documents.select("source_id", "lot_code", "lot_title")
+    keyed = listing.lot_order(lots)
+    # the sorted rows themselves tell each lot's place: that of the first with its keys
+    keys = ["code_key", "family_rank", "title_key"]
+    stood = listing.lot_order(listing.order_lots(lots).withColumn("at", F.monotonically_increasing_id()))
+    stood = stood.groupBy(*keys).agg(F.min("at").alias("at"), F.count("*").alias("many"))
+    before = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    places = stood.withColumn("place", (F.coalesce(F.sum("many").over(before), F.lit(0)) + 1).cast("int")).drop("at", "many")
+    return keyed.join(places, keys).select(
+        "source_id", F.get("code_key", F.lit(0))["number"].cast("int").alias("code_number"), "family_rank", "title_key", "place"
+    )
 
 
 @query
@@ -869,6 +880,12 @@ def k2_export_rows(v):
 
 @query
 def k3_snapshot_revision(v):
-    return contract.snapshot_revision(v.typed_lines, "2024-01-01T00:00:00Z").select("revision", "line_id", "designation")
+    """What is read back after writing one stamp twice."""
+    lines = v.typed_lines
+    path = f"{checkpoint_folder(lines.sparkSession)}/revisions-{uuid.uuid4().hex}"
+    for _ in range(2):
+        contract.snapshot_revision(lines, "2024-01-01T00:00:00Z", path)
+    stored = lines.sparkSession.read.schema(lines.schema.add("revision", "string")).parquet(path)
+    return stored.select("revision", "line_id", "designation")
 
 

@@ -98,15 +98,21 @@ def _decode(batches):
         rows = []
         for pair, content in zip(files["pair"], files["content"]):
             try:
-                rows += [(pair, 1, row, col, text) for row, col, text in _sheet_cells(content)]
-            except Exception:  # an unreadable bill has no cells; its pair shows up without references
-                continue
-        yield pd.DataFrame(rows, columns=_COLUMNS)
+                rows += [(pair, 1, row, col, text, None) for row, col, text in _sheet_cells(content)]
+            except Exception as problem:  # told beside the cells
+                rows.append((pair, None, None, None, None, f"{type(problem).__name__}: {problem}"))
+        found = pd.DataFrame(rows, columns=[*_COLUMNS, "error"])
+        yield found.astype({"sheet": "Int32", "row": "Int32", "col": "Int32"})
 
 
-def read_workbook_cells(files: DataFrame) -> DataFrame:
-    """Cells of the first sheet of each workbook. ``files``: pair, content."""
-    return files.select("pair", "content").mapInPandas(_decode, "pair string, sheet int, row int, col int, value string")
+def read_workbook_cells(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cells of the first sheet of each workbook, and (pair, error) of those that cannot be read.
+
+    ``files``: pair, content. A pair that failed is no empty bill: leave it out
+    of the totals.
+    """
+    read = files.select("pair", "content").mapInPandas(_decode, "pair string, sheet int, row int, col int, value string, error string")
+    return read.where("error is null").drop("error"), read.where("error is not null").select("pair", "error")
 
 
 def read_csv_cells(spark, path: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from metreur.functions.codes import safe_original_name
 
-# fixed values: what a dossier accepts
+# fixed values: what a dossier accepts; the two limits are parameters, None for no limit
 EXTENSIONS = [".pdf", ".docx"]
 MAX_BYTES = 80 * 1024 * 1024
 MAX_DOCUMENTS = 30
@@ -20,34 +20,44 @@ def extension(name) -> Column:
     return F.lower(F.regexp_extract(name, r"(?s).(\.[^.]*)$", 1))
 
 
-def describe_files(files: DataFrame, with_content: bool = False) -> DataFrame:
+def accepted_files(files: DataFrame, max_bytes: int | None = MAX_BYTES) -> DataFrame:
+    """Files of an accepted kind and size, told by path and length alone, so that no other file is read."""
+    kind = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(*EXTENSIONS)
+    return files.where(kind if max_bytes is None else kind & (F.col("length") <= max_bytes))
+
+
+def describe_files(files: DataFrame, max_bytes: int | None = MAX_BYTES) -> DataFrame:
     """One row per file: names, size, hash, and why it is refused, if it is.
 
-    ``files``: path, length, content. The folder of a file is its dossier.
+    ``files``: path, length, content. The folder of a file is its dossier. Only
+    accepted files are read and hashed; others have no hash.
     """
-    # hashing needs the bytes once; nothing after it carries them unless asked
-    described = files.select(
+    good = accepted_files(files, max_bytes).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    kind = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(*EXTENSIONS)
+    bad = files.where(~kind if max_bytes is None else ~kind | (F.col("length") > max_bytes)).select("path", "length", F.lit(None).cast("string").alias("sha256"))
+    described = good.unionByName(bad).select(
         F.regexp_extract("path", r"([^/]*)/[^/]*$", 1).alias("dossier_id"),
         F.concat(F.lit("src_"), F.substring(F.sha1("path"), 1, 14)).alias("source_id"),
         safe_original_name("path").alias("original_name"),
         extension(safe_original_name("path")).alias("extension"),
         F.col("length").alias("size"),
-        F.sha2("content", 256).alias("sha256"),
+        "sha256",
         "path",
-        *(["content"] if with_content else []),
     )
     return described.withColumn(
         "reject_reason",
-        F.when(~F.col("extension").isin(*EXTENSIONS), "format").when(F.col("size") > MAX_BYTES, "size"),
+        F.when(~F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(*EXTENSIONS), "format").when(F.col("sha256").isNull(), "size"),
     )
 
 
-def limit_documents(manifest: DataFrame, limit: int = MAX_DOCUMENTS) -> DataFrame:
-    """Refuse the files of a dossier past the limit, in the order of their names.
+def limit_documents(manifest: DataFrame, limit: int | None = MAX_DOCUMENTS) -> DataFrame:
+    """Refuse the files of a dossier past the limit (None: none), in the order of their names.
 
     Two passes: each stretch of names keeps its first ``limit`` before the
     dossier's are compared, so an overfull folder never sits in one task.
     """
+    if limit is None:
+        return manifest
     names = manifest.where("reject_reason is null").select("dossier_id", "path")
     salted = names.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(64)))
     first = Window.partitionBy("dossier_id", "salt").orderBy("path")
@@ -65,8 +75,10 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
 
-def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_manifest(
+    spark: SparkSession, path: str, max_bytes: int | None = MAX_BYTES, max_documents: int | None = MAX_DOCUMENTS
+) -> tuple[DataFrame, DataFrame]:
     """(accepted files, refused files with the reason)."""
-    manifest = limit_documents(describe_files(read_files(spark, path)))
+    manifest = limit_documents(describe_files(read_files(spark, path), max_bytes), max_documents)
     accepted = manifest.where("reject_reason is null").drop("reject_reason")
     return accepted, manifest.where("reject_reason is not null")

@@ -8,22 +8,28 @@ from pyspark.sql.streaming import StreamingQuery
 
 from metreur.plans.extract import extract_lines
 from metreur.sources.docx import read_docx_blocks
-from metreur.sources.manifest import FILE_SCHEMA, describe_files
+from metreur.sources.manifest import FILE_SCHEMA, MAX_BYTES, MAX_DOCUMENTS, accepted_files, describe_files, limit_documents
 from metreur.session import cut_lineage
 
 
-def process_batch(files: DataFrame, batch_id: int, output: str) -> None:
+def process_batch(
+    files: DataFrame, batch_id: int, output: str, max_bytes: int | None = MAX_BYTES, max_documents: int | None = MAX_DOCUMENTS
+) -> None:
     """Lines, lots and warnings of one batch of Word files, written under ``output``.
 
     A batch replaces its own folder, so a restart repeats it without doubling
-    it. A broken file becomes a warning and leaves the others alone.
+    it. A broken file becomes a warning and leaves the others alone, and so does
+    a printed file, whose pages come as spans (``sources.layout``) and not by
+    this way. The limit on documents holds within a batch.
     """
-    described = cut_lineage(describe_files(files, with_content=True))
+    described = cut_lineage(limit_documents(describe_files(files, max_bytes), max_documents))
     accepted = described.where("reject_reason is null")
-    blocks, failures = read_docx_blocks(accepted.where(F.col("extension") == ".docx"))
+    words = accepted.where(F.col("extension") == ".docx")
+    content = accepted_files(files, max_bytes).select("path", "content")
+    blocks, failures = read_docx_blocks(words.join(content, "path"))
     blocks, failures = cut_lineage(blocks), cut_lineage(failures)
     documents = (
-        accepted.drop("content").join(failures, "source_id", "left").withColumn("page_count", F.lit(0))
+        accepted.join(failures, "source_id", "left").withColumn("page_count", F.lit(0))
     )
     good = documents.where("error is null and extension = '.docx'")
     found = extract_lines(good, blocks)
@@ -35,11 +41,14 @@ def process_batch(files: DataFrame, batch_id: int, output: str) -> None:
     refused = described.where("reject_reason is not null").select(
         "source_id", F.col("original_name").alias("source_name"), F.col("reject_reason").alias("message")
     )
+    printed = accepted.where("extension = '.pdf'").select(
+        "source_id", F.col("original_name").alias("source_name"), F.lit("Document non traité : pages attendues en lignes").alias("message")
+    )
     for name, table in {
         "lots": found.lots,
         "perimeters": found.perimeters,
         "lines": found.lines,
-        "warnings": found.warnings.unionByName(broken).unionByName(refused),
+        "warnings": found.warnings.unionByName(broken).unionByName(refused).unionByName(printed),
     }.items():
         table.write.mode("overwrite").parquet(f"{output}/{name}/batch={batch_id}")
 

@@ -61,3 +61,11 @@ def test_changed_fields_are_edits(spark):
     stored = spark.createDataFrame([line("a", 1, "1"), line("b", 2, "2"), line("m", 3, "3", origin="manual")], SCHEMA)
     sent = spark.createDataFrame([line("a", 1, "1", "autre"), line("b", 2, "2"), line("m", 3, "3", "autre", origin="manual")], SCHEMA)
     assert {r["line_id"]: r["user_edited"] for r in overlay.detect_edits(sent, stored).collect()} == {"a": True, "b": False, "m": False}
+
+
+def test_a_line_stored_twice_stays_one(spark):
+    lines = spark.createDataFrame([line("a", 1, "1.1"), line("b", 2, "1.2")], SCHEMA)
+    stored = spark.createDataFrame([line("a", 1, "1.1", "old", edited=True), line("a", 1, "1.1", "young", edited=True)], SCHEMA)
+    got = overlay.overlay_edits(lines, stored).collect()
+    assert sorted((r.line_id, r.designation) for r in got) == [("a", "young"), ("b", "x")]
+    assert overlay.detect_edits(lines, stored).count() == 2

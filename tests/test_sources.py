@@ -107,7 +107,9 @@ def test_delivered_bill(spark):
         ("", "1.1", "titre avant", "u"), ("", "Code", "Désignation", "Unité"), ("", "2", "TRAVAUX", ""), ("", "2.1", "Marquage  au sol", ""),
         ("", "", "- A - Marquage place PMR", "u"), ("", "2.2", "Sous-total 2", "u"), ("1", "2.3", "Clôture", "ml"), ("", "2.4", "ab", "u"),
     ]
-    cells = bills.read_workbook_cells(spark.createDataFrame([("p", bytearray(sheet(rows)))], "pair string, content binary"))
+    files = spark.createDataFrame([("p", bytearray(sheet(rows))), ("q", bytearray(b"no workbook"))], "pair string, content binary")
+    cells, failures = bills.read_workbook_cells(files)
+    assert [r.pair for r in failures.collect()] == ["q"]
     got = [(r["ref_index"], r["code"], r["designation"], r["unit"], r["kind"]) for r in bills.read_reference_bill(cells).orderBy("ref_index").collect()]
     assert got == [
         (0, "2", "TRAVAUX", "", "section"), (1, "2.1", "Marquage au sol", "", "section"), (2, "", "A - Marquage place PMR", "u", "item"),
@@ -124,6 +126,11 @@ def test_manifest(spark, tmp_path):
     accepted, refused = manifest.read_manifest(spark, str(tmp_path))
     assert accepted.count() == 30
     assert sorted(r["reject_reason"] for r in refused.collect()) == ["count", "count", "format"]
+    assert all((r["sha256"] is None) == (r["reject_reason"] == "format") for r in refused.collect())
+    (folder / "f00.docx").write_bytes(b"x" * 50)
+    accepted, refused = manifest.read_manifest(spark, str(tmp_path), max_bytes=10, max_documents=None)
+    assert accepted.count() == 31
+    assert sorted((r["reject_reason"], r["sha256"]) for r in refused.collect()) == [("format", None), ("size", None)]
     assert spark.createDataFrame([Row(p='x/a<b>:c?.pdf')]).select(safe_original_name("p")).first()[0] == "a_b__c_.pdf"
 
 
@@ -133,6 +140,9 @@ def test_output_names_are_unique_whatever_the_case(spark):
     names = [r["lot_file"] for r in contract.output_names(df).orderBy("lot_order").collect()]
     assert names[0] == "DPGF_P_LOT_1_Gros.xlsx" and names[3] == "DPGF_P_LOT_1_Gros_2.xlsx"
     assert len({n.lower() for n in names}) == 5
+    lots = [("d", n, "", "P", "1", title) for n, title in enumerate(["X", "X", "X_2", "X_3", "X_4", "x"])]
+    names = [r["lot_file"] for r in contract.output_names(spark.createDataFrame(lots, df.schema)).orderBy("lot_order").collect()]
+    assert names[1] == "DPGF_P_LOT_1_X_5.xlsx" and names[5] == "DPGF_P_LOT_1_x_6.xlsx" and len(set(names)) == 6
     titles = [r["sheet_title"] for r in contract.sheet_titles(df).orderBy("lot_order").collect()]
     assert titles[:3] == ["LOT 1 Gros", "LOT 1 GROS (2)", "LOT 1 gros (3)"]
 
@@ -143,12 +153,13 @@ def test_new_files_are_processed_once(spark, tmp_path):
     (source / "d1" / "LOT 06 SERRURERIE.docx").write_bytes(SPEC)
     (source / "d1" / "broken.docx").write_bytes(b"zip?")
     (source / "d1" / "plan.dwg").write_bytes(b"dwg")
+    (source / "d1" / "printed.pdf").write_bytes(b"%PDF")
     run = lambda: ingest_new(spark, str(source), str(output), str(state)).awaitTermination()
     run()
     lines = spark.read.parquet(str(output / "lines"))
     assert {r["code"] for r in lines.collect() if r["code"]} == {"3", "3.1"}
     messages = [r["message"] for r in spark.read.parquet(str(output / "warnings")).collect()]
-    assert sum(m.startswith("Document non traité") for m in messages) == 1 and "format" in messages
+    assert sum(m.startswith("Document non traité") for m in messages) == 2 and "format" in messages
     (source / "d1" / "LOT 07 AUTRE.docx").write_bytes(SPEC)
     run()
     assert spark.read.parquet(str(output / "lots")).count() == 2
