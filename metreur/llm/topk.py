@@ -193,7 +193,8 @@ def search(
         row[: len(r[1])] = r[1]
     laid = base.repartitionByRange(shards, "place", "vec_id").sortWithinPartitions("place", "vec_id").select(F.spark_partition_id().alias("shard"), F.lit(0).alias("kind"), "vec_id", "v", "place")
     laid = cut_lineage(laid)
-    asked = taken(queries).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "vec_id", "v", F.lit(0).alias("place"))
+    last = laid.agg(F.max("shard")).first()[0]  # a session may deal out to more partitions than asked for
+    asked = taken(queries).select(F.explode(F.sequence(F.lit(0), F.lit(last))).alias("shard"), F.lit(1).alias("kind"), "vec_id", "v", F.lit(0).alias("place"))
     met = laid.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind", "place", "vec_id")
     found = met.select("shard", "kind", "vec_id", "v").mapInArrow(_searcher(k, block, first, sample_ids, width), "query_id bigint, vec_id bigint, score bigint")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
