@@ -521,10 +521,12 @@ check("o2_insert_by_code", f"""WITH known AS (SELECT * FROM typed_lines WHERE ki
 check("o3_newest_first", "SELECT dossier_id, updated_at FROM dossiers", "dossiers")
 check("o4_top_examples", f"""WITH {KEYED} SELECT pair, gen_index, designation FROM gen_lines ANTI JOIN km USING (pair, gen_index)
     QUALIFY row_number() OVER (PARTITION BY pair ORDER BY gen_index) <= 25""", "gen_lines", "ref_lines")
-check("k1_export_contract", """WITH n AS (SELECT source_id, (pos - 1) // 5000 AS part, count(*) AS n_lines, arg_max('ln_' || source_id || '_' || pos, pos) AS last_id,
-        arg_max(level, pos) AS last_level, arg_max(title, pos) AS last_designation FROM spec_headings GROUP BY ALL)
-    SELECT dossier_id, project_name AS name, 'lot_' || left(sha1(source_id), 12) AS external_id, lot_code AS code, lot_title AS title,
-           CAST(part AS INT) AS part, CAST(n_lines AS INT) AS n_lines, last_id, last_level, last_designation
-    FROM (SELECT source_id, lot_code, lot_title, replace(source_id, 'src_', '') AS dossier_id FROM spec_documents) JOIN dossiers USING (dossier_id)
-    JOIN n USING (source_id)""", "spec_headings", "spec_documents", "dossiers")
+check("k1_export_contract", """WITH l AS (SELECT *, replace(source_id, 'src_', '') AS dossier, 'lot_' || left(sha1(source_id), 12) AS lot FROM spec_documents),
+    r AS (SELECT 'dossier' AS record, dossier_id, NULL AS lot_id, CAST(NULL AS BIGINT) AS pos, updated_at AS generated_at, NULL AS code, NULL AS title,
+            NULL AS source_document_id, NULL AS external_id, CAST(NULL AS INT) AS parent_level, NULL AS kind, NULL AS designation, NULL AS unit,
+            CAST(NULL AS BOOLEAN) AS included, CAST(NULL AS INT) AS source_page, project_name AS name, project_reference AS reference, client_name AS client FROM dossiers
+        UNION ALL SELECT 'lot', dossier, lot, NULL, NULL, lot_code, lot_title, source_id, lot, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM l
+        UNION ALL SELECT 'line', dossier, lot, pos, NULL, code, NULL, NULL, 'ln_' || source_id || '_' || pos, level, CASE WHEN level <= 2 THEN 'section' ELSE 'item' END,
+            title, CASE WHEN level > 2 THEN 'Ens' END, true, page, NULL, NULL, NULL FROM spec_headings JOIN l USING (source_id))
+    SELECT *, '1.0' AS schema_version, 'metreur' AS source_application, CAST(NULL AS DOUBLE) AS quantity FROM r""", "spec_headings", "spec_documents", "dossiers")
 check("k3_snapshot_revision", "SELECT '2024-01-01T00:00:00Z' AS revision, line_id, designation FROM typed_lines", "typed_lines")

@@ -863,11 +863,7 @@ def k1_export_contract(v):
         F.regexp_replace("source_id", "src_", "").alias("dossier_id"), "source_id", "lot_code", "lot_title"
     )
     made = contract.export_contract(v.dossiers, lots, _bill_of_headings(v))
-    last = F.element_at("lines", -1)
-    return made.select(
-        "dossier_id", "project.name", "external_id", "code", "title", "part", F.size("lines").alias("n_lines"),
-        last["external_id"].alias("last_id"), last["parent_level"].alias("last_level"), last["designation"].alias("last_designation"),
-    )
+    return made.select("*", "project.name", "project.reference", "project.client").drop("project")
 
 
 @query

@@ -165,3 +165,16 @@ def test_new_files_are_processed_once(spark, tmp_path):
     assert spark.read.parquet(str(output / "lots")).count() == 2
     run()
     assert spark.read.parquet(str(output / "lots")).count() == 2
+
+
+def test_contract_reads_in_order(spark, tmp_path):
+    dossiers = spark.createDataFrame([("d1", "P", "R", "C", "DCE", "", "2024")], "dossier_id string, project_name string, project_reference string, client_name string, phase string, due_date string, updated_at string")
+    lots = spark.createDataFrame([("d1", "s1", "01", "VRD"), ("d2", "s2", "02", "Toiture")], "dossier_id string, source_id string, lot_code string, lot_title string")
+    rows = [(s, n, f"{s}{n}", "item", 3, "1", "x", "U", 1.0, None, 1) for s in ("s1", "s2") for n in range(12000, 0, -1)]
+    lines = spark.createDataFrame(rows, "source_id string, pos bigint, line_id string, kind string, level int, code string, designation string, unit string, quantity double, included boolean, source_page int")
+    contract.write_contract(contract.export_contract(dossiers, lots, lines), str(tmp_path / "c"))
+    got = [(r["record"], r["dossier_id"], r["pos"]) for r in spark.read.json(str(tmp_path / "c")).collect()]
+    assert len(got) == 24003
+    of = {d: [r for r in got if r[1] == d] for d in ("d1", "d2")}
+    assert [r[0] for r in of["d1"]][:3] == ["dossier", "lot", "line"] and of["d2"][0][0] == "lot"
+    assert [r[2] for r in of["d1"][2:]] == list(range(1, 12001))
