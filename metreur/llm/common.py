@@ -14,19 +14,30 @@ from pyspark.sql import functions as F
 
 from metreur.session import checkpoint_folder, cut_lineage, ship_package
 
-__all__ = ["ROW", "WORD_BYTES", "ascii_words", "checkpoint_folder", "cut_lineage", "listed", "packed", "read", "sha256_hex", "shared_folder"]
+__all__ = ["ROW", "WORD_BYTES", "ascii_words", "bounded_batches", "checkpoint_folder", "cut_lineage", "listed", "packed", "read", "sha256_hex", "shared_folder"]
 
 #: The struct that carries a row's own columns past an operator, so that names never clash.
 ROW = "__row"
+#: Rows of one Arrow batch; the session's own setting counts texts by the ten thousand.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Arrow batches of at most so many rows from now on, as rows carry whole texts."""
+    if int(spark.conf.get(_BATCH)) > rows:
+        spark.conf.set(_BATCH, str(rows))
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def packed(df: DataFrame, keep: Iterable[str] | None, **inputs: Column) -> DataFrame:
     """One struct of the columns to keep (all: None) beside the operator's inputs under its own names."""
+    bounded_batches(df.sparkSession)
     names = df.columns if keep is None else list(keep)
     return df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias(ROW), *[c.alias(k) for k, c in inputs.items()])
 

@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metreur.llm.common import cut_lineage, shared_folder
+from metreur.llm.common import bounded_batches, cut_lineage, shared_folder
 
 #: Payloads of fewer bytes are never revisits.
 LEAST = 1000
@@ -235,6 +235,7 @@ def with_revisits(pages: DataFrame, *, id: str = "page_id", url: str = "url", ht
 
 def write(records: DataFrame, folder: str, *, packed: bool = True, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write the archives; the list (archive, bytes, records) of those that count, stored."""
+    bounded_batches(records.sparkSession)
     return cut_lineage(records.mapInArrow(_writer(folder, packed, archive_bytes), "archive string, bytes bigint, records bigint"))
 
 
