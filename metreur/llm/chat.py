@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metreur.llm.common import cut_lineage
+from metreur.llm.common import bounded_batches, cut_lineage
 
 MERGE, RELABEL, INSERT = 1, 2, 3
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -250,6 +250,7 @@ def repair(turns: DataFrame, *, conversation: str = "conv_id", turn: str = "turn
     role and text, and each counts. Unknown and missing roles are relabelled; a null
     text is an empty one.
     """
+    bounded_batches(turns.sparkSession)
     rows = turns.select(
         F.col(conversation).cast("bigint").alias("conv_id"), F.col(turn).cast("bigint").alias("turn"), F.col(role).cast("string").alias("role"),
         F.col(text).cast("string").alias("text"), F.xxhash64(role, text).alias("tie"),

@@ -190,6 +190,17 @@ def _scorer(model):
     return run
 
 
+def _judge(model):
+    """Statistics and score in one go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([statistics(t) for t in batch.column(1).to_pylist()], np.float64).reshape(-1, len(STATISTICS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], names=[ROW, "score"])
+
+    return run
+
+
 def scored(found: DataFrame, model: Model | Constant) -> DataFrame:
     """``__row`` and ``score`` of described documents."""
     return found.mapInArrow(_scorer(model), f"`{ROW}` {found.schema[ROW].dataType.simpleString()}, score double")
@@ -206,4 +217,6 @@ def report(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str
 def keep_good(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier does not reject, with their columns."""
     model = fit(described(docs, keep=[id], text=text), labels, id=id)
-    return scored(described(docs, keep=None, text=text), model).where(F.col("score") >= threshold).select(f"{ROW}.*")
+    rows = packed(docs, None, text=F.col(text))
+    judged = rows.mapInArrow(_judge(model), f"`{ROW}` {rows.schema[ROW].dataType.simpleString()}, score double")
+    return judged.where(F.col("score") >= threshold).select(f"{ROW}.*")
