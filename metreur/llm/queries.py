@@ -27,7 +27,24 @@ def op1_pii(spark, sf_dir):
 @query
 def op2_decontaminate(spark, sf_dir):
     found = decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
-    return found.drop("items")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+CHECKS["op2_decontaminate"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+i AS (SELECT item_id, words, least(10, len(words)) AS w FROM (SELECT item_id, {_WORDS} AS words FROM benchmark) WHERE item_id IS NOT NULL AND len(words) > 0),
+own AS (SELECT DISTINCT item_id, w, array_to_string(words[k : k + w - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(words) - w + 2)) AS k FROM i)),
+sizes AS (SELECT DISTINCT w FROM own),
+seen AS (SELECT doc_id, k, w, array_to_string(words[k : k + w - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(words) - w + 2)) AS k FROM d, sizes)),
+met AS (SELECT doc_id, k, w, item_id FROM seen JOIN own USING (w, win)),
+hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + w)) AS place FROM met) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM met) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
 
 
 @query
@@ -40,6 +57,19 @@ def op5_neardup(spark, sf_dir):
     return neardup.grouped(read(spark, sf_dir, "documents"))
 
 
+CHECKS["op5_neardup"] = f"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[k : k + 4], ' ') AS shingle FROM (SELECT *, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS k FROM t WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS met FROM s a JOIN s b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * met >= 75 * (nx.n + ny.n - met)),
+link AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM t UNION SELECT reach.doc_id, link.y FROM reach JOIN link ON reach.r = link.x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
 @query
 def op6_secrets(spark, sf_dir):
     return secrets.report(read(spark, sf_dir, "documents"))
