@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metreur.llm import tokens
-from metreur.llm.common import cut_lineage, shared_folder
+from metreur.llm.common import bounded_batches, cut_lineage, shared_folder
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 #: Free in that vocabulary of 50,256 ids.
@@ -64,6 +64,10 @@ def permuted(index: np.ndarray, size: int, key: int = KEY, rounds: int = ROUNDS,
     return out.astype(np.int64)
 
 
+def _check(text: str | None, so_far: int) -> int:
+    return zlib.crc32(b"\0" if text is None else text.encode("utf-8", "surrogatepass"), so_far)
+
+
 def _streams(batches: Iterator[pa.RecordBatch], tokenizer: str, end: int, seen: list[int]) -> Iterator[np.ndarray]:
     """Ids of the rows, one array a batch; ``seen`` ends as [rows, ids, checksum of the texts]."""
     table = tokens.tokenizer(tokenizer)
@@ -71,18 +75,22 @@ def _streams(batches: Iterator[pa.RecordBatch], tokenizer: str, end: int, seen:
         parts = []
         for text in batch.column(0).to_pylist():
             parts += [table.ids(text), np.array([end], np.uint32)]
-            seen[2] = zlib.crc32(b"\0" if text is None else text.encode("utf-8", "surrogatepass"), seen[2])
+            seen[2] = _check(text, seen[2])
         ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
         seen[0] += len(batch)
         seen[1] += len(ids)
         yield ids
 
 
-def _counter(tokenizer: str, end: int):
+def _counter(tokenizer: str):
     def run(batches):
+        table = tokens.tokenizer(tokenizer)
         seen = [0, 0, 0]
-        for _ in _streams(batches, tokenizer, end, seen):
-            pass
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                seen[0] += 1
+                seen[1] += table.count(text) + 1  # with the end token
+                seen[2] = _check(text, seen[2])
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (TaskContext.get().partitionId(), *seen)], names=["part", "rows", "ids", "sum"])
 
     return run
@@ -192,11 +200,12 @@ def materialise(
     sequence is filled up with end tokens. No documents give no shards.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     folder = folder or shared_folder(spark, "order")
     kind = "<u2" if end < 1 << 16 else "<u4"
     texts = docs.select(F.col(text).cast("string").alias("text"))
     for attempt in range(ATTEMPTS):
-        counted = texts.mapInArrow(_counter(tokenizer, end), "part bigint, rows bigint, ids bigint, sum bigint").collect()  # a row for each input partition
+        counted = texts.mapInArrow(_counter(tokenizer), "part bigint, rows bigint, ids bigint, sum bigint").collect()  # a row for each input partition
         counts, total = {}, 0
         for part, rows, ids, check in sorted(tuple(r) for r in counted):
             counts[part] = (total, rows, ids, check)

@@ -96,25 +96,62 @@ class WordIds:
         pieces = _SPACE.split(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
         found = list(map(self.table.get, pieces))
         if None in found:
-            new = self.encoded(list({p for p, f in zip(pieces, found, strict=True) if f is None}))
+            gone = [k for k, f in enumerate(found) if f is None]
+            new = self.encoded(list({pieces[k] for k in gone}))
+            for k in gone:
+                found[k] = new[pieces[k]]
             if len(self.table) + len(new) <= self.kept:
                 self.table.update(new)
-            found = [new[p] if f is None else f for p, f in zip(pieces, found, strict=True)]
         return np.frombuffer(b"".join(found), np.uint32)
 
+    def count(self, text: str | None) -> int:
+        return len(self.ids(text))
+
 
 class ByteIds:
-    def __init__(self, path: str):
+    """The pattern of these files never joins what stands on the two sides of a lone space, which belongs to what follows it."""
+
+    def __init__(self, path: str, kept: int = 900_000):
         import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.encoding = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.size = len(ranks)
+        self.kept = kept
+        self.table: dict[str, bytes] = {}
+
+    def _encoded(self, text: str) -> bytes:
+        return array("I", self.encoding.encode_ordinary(text)).tobytes()
+
+    def _found(self, text: str) -> list[bytes]:
+        """Ids of the text's pieces, in order; the whole text's where it is not cut."""
+        first, *pieces = text.split(" ")
+        found = list(map(self.table.get, pieces))
+        # Spaces beside other white space are not lone: such a text is encoded whole. A piece in the table never is one.
+        if not first or first[-1].isspace():
+            return [self._encoded(text)]
+        if None in found:
+            new: dict[str, bytes] = {}
+            for k in [k for k, f in enumerate(found) if f is None]:
+                p = pieces[k]
+                raw = new.get(p)
+                if raw is None:
+                    if not p or p[0].isspace() or p[-1].isspace():
+                        return [self._encoded(text)]
+                    raw = new[p] = self._encoded(" " + p)
+                found[k] = raw
+            if len(self.table) + len(new) <= self.kept:
+                self.table.update(new)
+        return [self._encoded(first), *found]
 
     def ids(self, text: str | None) -> np.ndarray:
-        return np.array(self.encoding.encode_ordinary(text) if text else [], np.uint32)
+        """Token ids (unsigned 32 bit); null and empty have none."""
+        return np.frombuffer(b"".join(self._found(text)), np.uint32) if text else np.zeros(0, np.uint32)
+
+    def count(self, text: str | None) -> int:
+        """How many ids the text has."""
+        return sum(map(len, self._found(text))) // 4 if text else 0
 
 
 @lru_cache(maxsize=4)

@@ -19,6 +19,15 @@ def test_permutation(size):
         assert abs(np.corrcoef(np.arange(size), slots)[0, 1]) < 0.2
 
 
+def test_ids_are_the_tokenizers():
+    table = tokens.ByteIds(tokens.tokenizer_file(order.TOKENIZER), kept=60)
+    odd = ["a  b", " a", "a ", "a \n b", "a\n b", "a b\n", "a\u00a0 b", "a \u3000b", "  ", "\n", "don't 's 't x", "é🙂 ñ ", "1 22 333 4444", "... ,, !?", "a b", "\t a", "x" * 4000]
+    for text in [*odd, *odd, prose(3, 500), prose(4, 500), "\n".join([prose(5, 40)] * 3)]:
+        assert table.ids(text).tolist() == table.encoding.encode_ordinary(text), ascii(text)[:50]
+        assert table.count(text) == len(table.ids(text))
+    assert table.ids(None).tolist() == []
+
+
 @pytest.mark.parametrize(("length", "per_shard"), [(16, 8), (2048, 4096), (7, 1)])
 def test_files_hold_the_stream_in_order(spark, length, per_shard):
     rows = [(k, prose(k, k * 13 % 90)) for k in range(120)] + [(1, None), (2, ""), (2, ""), (None, "é🙂")]
