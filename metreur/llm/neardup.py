@@ -11,8 +11,9 @@ one; a value that many documents hold is among the last and rarely a list at all
 
 Lists are worked off without all pairs:
 
-1. The most typical member of each list (whose values are the most frequent) is
-   compared with the others; what agrees is linked.
+1. Classes whose text is too much their own leave, told by a wider sketch of those
+   in lists. The most typical member of each list (whose values are the most frequent)
+   is compared with the others; what agrees is linked.
 2. In lists that still hold several components, shingles that only one member of
    any such list has are counted. They bound every overlap of that member exactly,
    and members that can reach 0.75 with nobody leave.
@@ -42,10 +43,15 @@ from metreur.llm.common import ROW, cut_lineage, listed, packed
 K = 64
 SHARED = 28
 SHINGLE = 5
+#: A second, wider sketch for the classes in lists: 192 of 256 shared are expected, 150 are six standard deviations less.
+WIDE = 256
+WIDE_SHARED = 150
 #: Rows of ids that may be sent to every task (16 bytes each).
 BROADCAST_ROWS = 2_000_000
 #: Documents, or pairs of them with their sets, in one Arrow batch.
 BATCH = 200
+#: Edges that one task takes while components are found.
+EDGES_A_TASK = 50_000
 #: Sizes of one bucket differ by less than this factor.
 _RATIO = 1.02
 
@@ -145,6 +151,14 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([reps, pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))], names=["rep", "shingle"])
 
 
+def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, shingle) of the ``WIDE`` smallest of each set."""
+    for batch in batches:
+        sets = [_set(x)[:WIDE] for x in batch.column(1)]
+        reps = batch.column(0).take(pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets])))
+        yield pa.RecordBatch.from_arrays([reps, pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))], names=["rep", "shingle"])
+
+
 _SPREAD = "rep bigint, shingle bigint"
 
 
@@ -173,12 +187,15 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = mark(edges)
     while seen[0]:
+        # As many tasks as the edges ask for: few edges in many partitions are mostly small files.
+        wide = -(-seen[0] // EDGES_A_TASK)
+        edges = edges.coalesce(wide)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").coalesce(wide).distinct().coalesce(wide)
         least = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(least, "a")
-        edges = cut_lineage(small.select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct())
+        edges = cut_lineage(small.select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.*").where("a <> b").coalesce(wide).distinct().coalesce(wide))
         now = mark(edges)
         if now == seen:
             break
@@ -246,6 +263,24 @@ class _Linker:
         top = sizes.groupBy("value").agg(F.count("*").alias("comps"), F.max(F.struct("many", "comp")).alias("top")).where("comps > 1")
         return cut_lineage(now.join(top.select("value", F.col("top.comp").alias("first")), "value").withColumn("outside", F.col("comp") != F.col("first")).drop("first"))
 
+    def likely(self, entries: DataFrame) -> DataFrame:
+        """Entries without the classes whose text is too much their own, of lists that keep two members or more.
+
+        Of the ``WIDE`` smallest shingles of each class, those that no other class in
+        any list has are counted. A set no larger than that is whole, and more than a
+        quarter of its own rules out 0.75 with anybody; a larger one shares at
+        least ``WIDE_SHARED`` of them with a set that agrees, but for odds of about 1e-9.
+        """
+        firsts = lambda: self.sets.mapInArrow(_firsts, _SPREAD)
+        with _batches(self.spark, BATCH):
+            alone = firsts().groupBy("shingle").agg(F.count("*").alias("df"), F.min("rep").alias("rep")).where("df = 1")
+            alone = cut_lineage(alone.groupBy("rep").agg(F.count("*").alias("own")))
+        own = F.coalesce("own", F.lit(0))
+        good = F.when(F.col("n") <= WIDE, own * 4 <= F.col("n")).otherwise(own <= WIDE - WIDE_SHARED)
+        kept = cut_lineage(entries.join(alone, "rep", "left").where(good).drop("own"))
+        many = kept.groupBy("value").agg(F.count("*").alias("members")).where("members > 1").select("value")
+        return cut_lineage(kept.join(many, "value"))
+
     @staticmethod
     def stars(entries: DataFrame, centre: Column) -> DataFrame:
         """Each list's most typical member among ``centre`` with all members whose size allows 0.75."""
@@ -269,7 +304,7 @@ class _Linker:
         seen = both.groupBy(F.col("a").alias("rep")).agg(F.max(F.struct("both", "b")).alias("ref"))
         asks = entries.where("outside and m * 7 / 3 - n >= n * 3 / 4").join(seen, "rep", "left")
         # Above this size a text must share what the reference lacks: 7 * both < 3 * (n + size).
-        asks = cut_lineage(asks.withColumn("limit", F.floor(F.coalesce(F.col("ref.both"), F.col("m")) * 7 / 3 - F.col("n"))).select("*", F.col("ref.both").alias("both"), F.col("ref.b").alias("h")).drop("ref"))
+        asks = cut_lineage(asks.withColumn("limit", F.floor((F.coalesce(F.col("ref.both"), F.col("m")) * 7 - F.col("n") * 3) / 3)).select("*", F.col("ref.both").alias("both"), F.col("ref.b").alias("h")).drop("ref"))
 
         low, high = _bucket(F.col("n") * 3 / 4) - 1, _bucket(F.greatest(F.lit(1), F.least(F.col("n") * 4 / 3, F.col("m") * 7 / 3 - F.col("n"), F.col("limit"))))
         x = asks.where("limit >= n * 3 / 4").select("*", F.explode(F.sequence(low, F.greatest(low, high + 1))).alias("bucket")).alias("x")
@@ -277,21 +312,26 @@ class _Linker:
         on = (F.col("x.value") == F.col("y.value")) & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp")) & _fits("x", "y") & (F.col("y.n") <= F.col("x.limit"))
         small = x.join(y, on).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
-        who = asks.where("h is not null").select("rep", "n", "m", "comp", "h", "both").distinct()
+        who = asks.where("h is not null").select("rep", "n", "m", "comp", "h", "both", "limit").distinct()
         mine = who.select("rep", "h").join(self.sets, "rep").join(self.sets.select(F.col("rep").alias("h"), F.col("whole").alias("other")), "h").select("rep", "whole", "other")
         with _batches(self.spark, BATCH):
             extra = cut_lineage(mine.mapInArrow(_spread, _SPREAD))
         members = entries.select("rep", "n", "m", "comp").distinct()
-        others = self.spread.withColumnRenamed("rep", "b").join(extra.select("shingle").distinct(), "shingle")
-        shared = extra.join(others, "shingle").where("rep <> b").groupBy("rep", "b").agg(F.count("*").alias("shared"))
-        x, y = who.alias("x"), members.alias("y")
-        met = shared.join(x, "rep").join(y, F.col("b") == F.col("y.rep")).where((F.col("x.comp") != F.col("y.comp")) & _fits("x", "y"))
-        large = met.where((F.col("x.both") + F.col("shared")) * 7 >= (F.col("x.n") + F.col("y.n")) * 3).select(F.col("x.rep").alias("a"), "b")
+        often = self.spread.groupBy("shingle").agg(F.count("*").alias("df"))
+        # A text that agrees shares at least ``least`` of these, so one of the rarest all but ``least`` - 1.
+        least = F.ceil((F.col("n") + F.greatest(F.col("limit") + 1, F.ceil(F.col("n") * 3 / 4))) * 3 / 7) - F.col("both")
+        mine = Window.partitionBy("rep")
+        rare = extra.join(often, "shingle").join(who, "rep").select("*", F.row_number().over(mine.orderBy("df", "shingle")).alias("at"), F.count("*").over(mine).alias("some"))
+        x = rare.where((F.col("df") > 1) & (F.col("at") <= F.col("some") - least + 1)).alias("x")
+        y = self.spread.join(members, "rep").alias("y")
+        on = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.comp") != F.col("y.comp")) & _fits("x", "y") & (F.col("y.n") > F.col("x.limit"))
+        large = x.join(y, on).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
         return small.unionByName(large).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     def run(self, classes: DataFrame) -> DataFrame:
         entries = self.lists(classes)
         self.fetch(entries)
+        entries = self.likely(entries)
         self.compare(self.stars(entries, F.lit(True)))
         left = self.open(entries)
         if left.isEmpty():
