@@ -19,7 +19,7 @@ __all__ = ["ROW", "WORD_BYTES", "ascii_words", "bounded_batches", "checkpoint_fo
 #: The struct that carries a row's own columns past an operator, so that names never clash.
 ROW = "__row"
 #: Rows of one Arrow batch; the session's own setting counts texts by the ten thousand.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from metreur.llm.common import ROW, ascii_words, listed, packed
 
 WINDOW = 10
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 200_000
 BLOCK_BYTES = 256 << 20
 
 _FOUND = "n_words bigint, hits array<struct<lo:int,hi:int>>, items array<bigint>, longest bigint, longest_item bigint, longest_at bigint"

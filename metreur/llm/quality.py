@@ -173,7 +173,8 @@ def fit(found: DataFrame, labels: DataFrame, *, id: str = "doc_id", label: str =
     A document id with several rows or labels counts once for each pair.
     """
     said = labels.select(F.col(id).alias("id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out(F.col("id")))
-    rows = found.select(F.col(f"{ROW}.`{id}`").alias("id"), "x").join(said, "id").select("label", "x")
+    # by a shuffle, so that the sums do not run in the tasks that read the texts, with two Python workers each
+    rows = found.select(F.col(f"{ROW}.`{id}`").alias("id"), "x").join(said.hint("merge"), "id").select("label", "x")
     sums = rows.mapInArrow(_moments, "label int, at int, value double").groupBy("label", "at").agg(F.sum("value").alias("value"))
     total = np.zeros((2, 1 + len(STATISTICS) + len(STATISTICS) ** 2))
     for k, at, value in sums.collect():  # two classes, one row for each position
