@@ -267,8 +267,10 @@ class _Linker:
         """Entries without the classes whose text is too much their own, of lists that keep two members or more.
 
         Of the ``WIDE`` smallest shingles of each class, those that no other class in
-        any list has are counted. A set no larger than that is whole, and more than a
-        quarter of its own rules out 0.75 with anybody; a larger one shares at
+        any list has are counted. A set no larger than that is whole: more than a quarter
+        of its own rules out 0.75 with sets that are whole too. Of a larger partner (of at
+        most 4 / 3 of its size) what lies beyond the ``WIDE`` smallest counts as its own as
+        well, in all no more than 4 / 3 of the size less ``WIDE``. A larger set shares at
         least ``WIDE_SHARED`` of them with a set that agrees, but for odds of about 1e-9.
         """
         firsts = lambda: self.sets.mapInArrow(_firsts, _SPREAD)
@@ -276,7 +278,8 @@ class _Linker:
             alone = firsts().groupBy("shingle").agg(F.count("*").alias("df"), F.min("rep").alias("rep")).where("df = 1")
             alone = cut_lineage(alone.groupBy("rep").agg(F.count("*").alias("own")))
         own = F.coalesce("own", F.lit(0))
-        good = F.when(F.col("n") <= WIDE, own * 4 <= F.col("n")).otherwise(own <= WIDE - WIDE_SHARED)
+        whole = (own * 4 <= F.col("n")) | (own * 3 <= F.col("n") * 4 - 3 * WIDE)
+        good = F.when(F.col("n") <= WIDE, whole).otherwise(own <= WIDE - WIDE_SHARED)
         kept = cut_lineage(entries.join(alone, "rep", "left").where(good).drop("own"))
         many = kept.groupBy("value").agg(F.count("*").alias("members")).where("members > 1").select("value")
         return cut_lineage(kept.join(many, "value"))

@@ -72,6 +72,16 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in brute(docs).values()})
 
 
+@pytest.mark.parametrize("small, large", [(145, 193), (192, 256), (193, 257), (237, 316), (250, 333), (255, 340), (256, 341), (256, 320)])
+def test_texts_that_hold_a_smaller_one_at_three_quarters(spark, small, large):
+    docs = []
+    for k in range(16):
+        words = [f"w{small}x{k}x{j}" for j in range(large + 4)]
+        docs += [(2 * k + 1, " ".join(words[: small + 4])), (2 * k + 2, " ".join(words))]
+    got = neardup.grouped(documents(spark, docs)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(docs)
+
+
 def test_rows_without_id_and_repeated_rows(spark):
     docs = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (4, "a b c d e f"), (None, None)]
     got = sorted((str(r.doc_id), r.component_id, r.kept) for r in neardup.grouped(documents(spark, docs)).collect())
