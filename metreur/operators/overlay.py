@@ -9,6 +9,7 @@ from metreur import catalogue
 from metreur.functions.codes import natural_code_key
 from metreur.functions.text import trim_blanks
 from metreur.operators import ordered
+from metreur.session import cut_lineage
 
 EDITABLE = [
     "kind", "level", "code", "designation", "description", "unit", "quantity", "unit_price", "included",
@@ -140,23 +141,31 @@ def _first_greater(lines: DataFrame, new: DataFrame) -> DataFrame:
 def insert_by_code(lines: DataFrame, new: DataFrame) -> DataFrame:
     """Lines with ``new`` ones before the first line of a greater code, else at the end; ``pos`` from 1.
 
-    New lines that meet in one place stand in the order of their codes.
+    New lines that meet in one place stand in the order of their codes, however many
+    they are. All lines are sorted by ranges; a line's number is its place in its range
+    and the lines of the same source in the ranges before, so no place is one task.
     """
     ends = lines.groupBy("source_id").agg((F.max("pos") + 1).alias("end"))
-    room = 1 << 20
     put = (
         new.join(_first_greater(lines, new), ["source_id", "line_id"], "left")
         .join(ends, "source_id", "left")
-        .withColumn("__slot", F.coalesce("before", "end", F.lit(1)).cast("bigint") * room)
+        .withColumn("__slot", F.coalesce("before", "end", F.lit(1)).cast("bigint"))
     )
+    both = (
+        lines.withColumn("__slot", F.col("pos").cast("bigint")).withColumn("__known", F.lit(True))
+        .unionByName(put.select(*lines.columns, "__slot", F.lit(False).alias("__known")))
+    )
+    fresh = lambda c: F.when(~F.col("__known"), c)
     uncoded = trim_blanks(F.coalesce("code", F.lit(""))) == ""
-    together = Window.partitionBy("source_id", "__slot").orderBy(uncoded, natural_code_key("code"), "pos", "line_id")
-    full = F.raise_error(F.lit(f"more than {room // 2} new lines at one place")).cast("int")
-    put = put.withColumn("__turn", F.row_number().over(together))
-    put = put.withColumn("__slot", F.col("__slot") + F.when(F.col("__turn") >= room // 2, full).otherwise(F.col("__turn")) - room // 2)
-    slotted = lines.withColumn("__slot", F.col("pos").cast("bigint") * room).unionByName(put.select(*lines.columns, "__slot"))
-    ranked = ordered.numbered(slotted.drop("pos"), ["source_id"], "__slot", "pos", sparse=True)
-    return ranked.select(lines.columns)
+    ranged = both.orderBy("source_id", "__slot", "__known", fresh(uncoded), fresh(natural_code_key("code")), "pos", "line_id")
+    # Ids grow along the order, by one within a range. Stored, as ranges are drawn from a sample.
+    ranged = cut_lineage(ranged.select(*lines.columns, F.monotonically_increasing_id().alias("__at"), F.spark_partition_id().alias("__range")))
+    earlier = Window.partitionBy("source_id").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("source_id", "__range").agg(F.min("__at").alias("__first"), F.count("*").alias("__many"))
+    counts = counts.select(F.col("source_id").alias("__source"), F.col("__range").alias("__of"), "__first", F.coalesce(F.sum("__many").over(earlier), F.lit(0)).alias("__before"))
+    numbered = ranged.join(counts, F.col("source_id").eqNullSafe(F.col("__source")) & (F.col("__range") == F.col("__of")))
+    number = F.col("__before") + F.col("__at") - F.col("__first") + 1
+    return numbered.select(*[number.alias(c) if c == "pos" else F.col(c) for c in lines.columns])
 
 
 def visible_dossiers(dossiers: DataFrame, shares: DataFrame, owner: str, email: str, search: str = "") -> DataFrame:

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from metreur.operators import overlay
 
@@ -69,3 +70,16 @@ def test_a_line_stored_twice_stays_one(spark):
     got = overlay.overlay_edits(lines, stored).collect()
     assert sorted((r.line_id, r.designation) for r in got) == [("a", "young"), ("b", "x")]
     assert overlay.detect_edits(lines, stored).count() == 2
+
+
+def test_more_new_lines_at_one_place_than_half_a_million(spark):
+    many = 530_000
+    known = spark.createDataFrame([line("a", 1, "1"), line("b", 2, "3")], SCHEMA)
+    one = spark.createDataFrame([line("", 0, "")], SCHEMA)
+    made = {"pos": F.col("id"), "line_id": F.concat(F.lit("n"), "id"), "code": F.concat(F.lit("2."), (F.col("id") % 7).cast("string"))}
+    new = one.drop(*made).crossJoin(spark.range(many)).withColumns(made).select(one.columns)
+    got = overlay.insert_by_code(known, new).select("line_id", "pos", F.expr("try_cast(substr(code, 3) as int)").alias("part"), F.expr("try_cast(substr(line_id, 2) as int)").alias("turn")).toPandas().sort_values("pos")
+    assert list(got.pos) == list(range(1, many + 3))
+    assert (got.line_id.iloc[0], got.line_id.iloc[-1]) == ("a", "b")
+    inside = got.iloc[1:-1]
+    assert list(zip(inside.part, inside.turn)) == sorted((k % 7, k) for k in range(many))
