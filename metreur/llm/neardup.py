@@ -46,7 +46,7 @@ SHINGLE = 5
 #: A second, wider sketch for the classes in lists: 192 of 256 shared are expected, 150 are six standard deviations less.
 WIDE = 256
 WIDE_SHARED = 150
-#: Rows of ids that may be sent to every task (16 bytes each).
+#: Rows of ids that may be sent to every task (24 bytes each).
 BROADCAST_ROWS = 2_000_000
 #: Documents, or pairs of them with their sets, in one Arrow batch.
 BATCH = 200
@@ -219,7 +219,7 @@ def _fits(a: str, b: str) -> Column:
 
 class _Linker:
     def __init__(self, docs: DataFrame, id: str, text: str):
-        self.docs = docs.select(F.col(id).alias("rep"), F.col(text).alias("text"))
+        self.docs = docs.select(F.col(id).alias("doc"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
         self.spark = docs.sparkSession
         self.counted: DataFrame | None = None
 
@@ -239,11 +239,11 @@ class _Linker:
         many = entries.groupBy("value").agg(F.count("*").alias("members")).where("members > 1").select("value")
         return cut_lineage(entries.join(many, "value"))
 
-    def fetch(self, entries: DataFrame) -> None:
-        """Whole sets of all classes in the lists."""
-        ids = cut_lineage(entries.select("rep").distinct())
+    def fetch(self, entries: DataFrame, classes: DataFrame) -> None:
+        """Whole sets of all classes in the lists, each by the id and text of one row."""
+        ids = cut_lineage(entries.select("rep").distinct().join(classes.select("rep", "doc", "mark"), "rep"))
         ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-        self.sets = cut_lineage(self.docs.join(ids, "rep", "left_semi").mapInArrow(_sets, "rep bigint, whole binary"))
+        self.sets = cut_lineage(self.docs.join(ids, ["doc", "mark"]).select("rep", "text").mapInArrow(_sets, "rep bigint, whole binary"))
 
     def compare(self, pairs: DataFrame, estimated: bool = False) -> None:
         """Count pairs (a, b); those that agree become edges."""
@@ -333,7 +333,7 @@ class _Linker:
 
     def run(self, classes: DataFrame) -> DataFrame:
         entries = self.lists(classes)
-        self.fetch(entries)
+        self.fetch(entries, classes)
         entries = self.likely(entries)
         self.compare(self.stars(entries, F.lit(True)))
         left = self.open(entries)
@@ -355,18 +355,27 @@ def grouped(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataF
     takes no part: it is kept and has no component. Rows that repeat an id share
     their text's component, and all of them are kept if it is the smallest.
     """
-    rows = packed(docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")), ["id"], text=F.col("text"))
-    base = cut_lineage(rows.mapInArrow(_sketch, f"`{ROW}` struct<id:bigint>, n bigint, digest string, sketch array<bigint>").select(F.col(f"{ROW}.id").alias("doc_id"), "n", "digest", "sketch"))
+    return _marked(docs, id, text).drop("mark")
+
+
+def _marked(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """``grouped`` with ``mark``, a hash of the text that tells apart the texts of one id."""
+    rows = packed(docs.select(F.col(id).cast("bigint").alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text")), ["id", "mark"], text=F.col("text"))
+    base = cut_lineage(rows.mapInArrow(_sketch, f"`{ROW}` struct<id:bigint,mark:bigint>, n bigint, digest string, sketch array<bigint>").select(F.col(f"{ROW}.id").alias("doc_id"), F.col(f"{ROW}.mark").alias("mark"), "n", "digest", "sketch"))
     some = base.where("digest is not null and doc_id is not null")
-    classes = cut_lineage(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    classes = some.groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("one"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    # Several classes may have the same smallest id, so they are numbered; stored, the numbers stay.
+    classes = cut_lineage(classes.select("digest", F.monotonically_increasing_id().alias("rep"), F.col("one.doc_id").alias("doc"), F.col("one.mark").alias("mark"), "n", "sketch"))
     parts = _Linker(docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")), "id", "text").run(classes)
-    least = classes.select("digest", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("component"))
+    found = classes.select("digest", "rep", "doc").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    named = found.groupBy("comp").agg(F.min("doc").alias("component"), F.count("*").alias("many")).where("many > 1").drop("many")
+    least = found.join(named, "comp", "left").select("digest", F.coalesce("component", "doc").alias("component"))
     done = base.drop("sketch").join(least, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return done.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return done.select("doc_id", "mark", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with the smallest id of their group, with their columns."""
-    gone = grouped(docs, id=id, text=text).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{id}`") == F.col("__gone"), "left_anti")
+    """The documents with the smallest id of their group, with their columns. Texts of one id stay or go each for itself."""
+    gone = _marked(docs, id, text).where("not kept").select(F.col("doc_id").alias("__gone"), F.col("mark").alias("__mark")).distinct()
+    return docs.join(gone, (F.col(f"`{id}`") == F.col("__gone")) & (F.xxhash64(text) == F.col("__mark")), "left_anti")

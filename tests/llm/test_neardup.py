@@ -89,6 +89,15 @@ def test_rows_without_id_and_repeated_rows(spark):
     assert neardup.keep_one(documents(spark, docs)).count() == 4
 
 
+def test_texts_of_one_id_are_told_apart(spark):
+    one, other = prose(1, 150), " ".join(f"own{k}" for k in range(400))
+    docs = [(1, one), (1, other), (2, edited(one, 1, 1)), (7, one + " tail"), (7, prose(3, 90)), (5, other + " tail")]
+    frame = documents(spark, docs)
+    got = sorted((r.doc_id, r.component_id, r.kept, r.n_shingles) for r in neardup.grouped(frame).collect())
+    assert [g[:3] for g in got] == [(1, 1, True), (1, 1, True), (2, 1, False), (5, 1, False), (7, 1, False), (7, 7, True)]
+    assert sorted((r.doc_id, r.text) for r in neardup.keep_one(frame).collect()) == sorted([docs[0], docs[1], docs[4]])
+
+
 def test_empty_table(spark):
     assert neardup.grouped(empty(spark)).count() == 0
 
