@@ -37,7 +37,8 @@ _HEX = re.compile(r"[0-9a-f]+")
 _LONG_HEX = re.compile(r"[0-9a-f]{24}")
 _WORDS = re.compile(r"(?i:passw|secret|token|api_?key)")
 _IDENT = re.compile(r"""(?:client|user|account|tenant|key)[_-]?(?:id|name)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{4,})""", re.I | re.A)
-_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{0,199}[0-9])(?=[A-Za-z0-9+/_-]{0,199}[A-Z])(?=[A-Za-z0-9+/_-]{0,199}[a-z])[A-Za-z0-9+/_-]{20,200}={0,2}(?![A-Za-z0-9+/_=-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")
+_DIGIT, _CAPITAL, _SMALL = re.compile("[0-9]"), re.compile("[A-Z]"), re.compile("[a-z]")
 _ENDPOINT = re.compile(r"""(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]{4,}|(?:host|endpoint|server|url)["']?\x20*[:=]\x20*["']?([A-Za-z0-9.-]+\.[A-Za-z]{2,}(?::[0-9]+)?)""", re.I | re.A)
 
 
@@ -80,7 +81,8 @@ def weak_parts(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         out += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if apart(m.start(), m.end())]
     if out or base:  # a string that looks secret needs company
         apart = free()
-        out += [(4, m.start(), m.end()) for m in _SECRET.finditer(text) if apart(m.start(), m.end())]
+        mixed = lambda m: all(p.search(text, m.start(), m.end()) for p in (_DIGIT, _CAPITAL, _SMALL))
+        out += [(4, m.start(), m.end()) for m in _SECRET.finditer(text) if mixed(m) and apart(m.start(), m.end())]
     return out
 
 

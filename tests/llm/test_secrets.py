@@ -48,6 +48,21 @@ def test_weak_parts_need_each_other(spark):
     assert "endpoint:" in found[103]
 
 
+def test_long_secrets_are_parts():
+    for size in (20, 200, 201, 900, 300_000):
+        token = ("Zx9Yw8Vu7Ts6Rq5Po4Nm3Lk2" * (size // 24 + 1))[:size]
+        text = f"client_id = abcd1234 {token}== host: db.example.com {'z' * size} {token}==="
+        assert [s for s in secrets.weak_parts(text, []) if s[0] == 4] == [(4, 21, 23 + size)]
+    late = "client_id = abcd1234 " + "a" * 400 + "B" + "c" * 400 + "7"
+    assert [s for s in secrets.weak_parts(late, []) if s[0] == 4] == [(4, 21, 823)]
+
+
+def test_long_secrets_link(spark):
+    token = "Zx9Yw8Vu7Ts6Rq5Po4Nm3Lk2" * 30
+    got = secrets.report(documents(spark, [(1, f"client_id = abcd1234 host: db.example.com {token}")])).collect()
+    assert got[0].spans == "ident:0:20,endpoint:21:41,secret:42:762"
+
+
 def test_one_id_with_two_texts_does_not_link(spark):
     rows = [(1, "client_id = abcd1234 Zx9Yw8Vu7Ts6Rq5Po4Nm3Lk2"), (1, "host: db.example.com")]
     assert {r.spans for r in secrets.report(documents(spark, rows)).collect()} == {""}
