@@ -133,6 +133,7 @@ def salvage(data: bytes) -> Iterator[tuple[str, object]]:
     """
     at, bad = 0, -1
     ahead = {_MEMBER: -1, _VERSION: -1}  # the next start of each kind, looked for once
+    stop, line = -1, -1  # the next end of a header and the next version line, looked for once too
     while at < len(data):
         found = None
         if data.startswith(_MEMBER, at):
@@ -147,8 +148,14 @@ def salvage(data: bytes) -> Iterator[tuple[str, object]]:
             if got and got[1] == len(whole[0]):
                 found = got[0], whole[1]
         elif data.startswith(_VERSION, at):
-            stop = data.find(b"\r\n\r\n", at, at + (1 << 20))
-            low = data[at:stop].lower() if stop > 0 else b""
+            if stop < at:
+                stop = data.find(b"\r\n\r\n", at)
+                stop = stop if stop >= 0 else len(data)
+            if line < at:
+                line = data.find(b"\r\n" + _VERSION, at)
+                line = line if line >= 0 else len(data)
+            # A header of any length, but it holds no other version line.
+            low = data[at:stop].lower() if stop < line else b""
             place = low.find(b"\ncontent-length:")
             size = low[place + 16 :].split(b"\r\n")[0].strip() if place >= 0 else b""
             if size.isdigit():

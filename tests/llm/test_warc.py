@@ -67,3 +67,14 @@ def test_salvage():
         assert sum(n for _, n in gaps) == 5 + 25 + sum(len(parts[k]) for k in lost - {39})
     assert list(warc.salvage(b"")) == []
     assert list(warc.salvage(b"junk")) == [("gap", (0, 4))]
+
+
+def test_long_headers_of_plain_records():
+    sha = hashlib.sha1(b"page").hexdigest()
+    urls = ["http://x/" + "u" * (2 << 20), "http://y/WARC/1.1" + "v" * (1 << 20), "http://z/"]
+    records = [warc.record(k, url, b"page", sha, None) for k, url in enumerate(urls)]
+    found = list(warc.salvage(b"".join(records)))
+    assert [(what, x[1]["page_id"], x[1]["url"]) for what, x in found] == [("record", k, url) for k, url in enumerate(urls)]
+    cut = records[0][: 1 << 20]
+    found = list(warc.salvage(cut + b"\r\n" + records[1] + records[2]))
+    assert found[0] == ("gap", (0, len(cut) + 2)) and [x[1]["page_id"] for _, x in found[1:]] == [1, 2]
