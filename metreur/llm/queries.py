@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metreur.llm import chat, decontaminate, neardup, order, packing, pii, quality, secrets, topk, warc
+from metreur.llm import audit, chat, decontaminate, dedup, neardup, order, packing, pii, quality, secrets, topk, warc
 from metreur.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,51 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 @query
 def op9_order(spark, sf_dir):
     return order.report(read(spark, sf_dir, "documents"))
+
+
+@query
+def op11_filter_audit(spark, sf_dir):
+    return audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+CHECKS["op11_filter_audit"] = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM t),
+f AS (
+  SELECT doc_id, part, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t),
+                        regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails
+  FROM w),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails),
+x AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 3), ('D', 4), ('E', 5)) AS x(name, k)),
+o AS (
+  SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.k, b.k, c.k, d.k, e.k] AS ks
+  FROM x a JOIN x b ON b.k <> a.k JOIN x c ON c.k NOT IN (a.k, b.k) JOIN x d ON d.k NOT IN (a.k, b.k, c.k) JOIN x e ON e.k NOT IN (a.k, b.k, c.k, d.k)),
+s AS (SELECT filter_order, step, ks[step] AS k, ks[1 : step - 1] AS gone FROM (SELECT *, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM o)),
+r AS (
+  SELECT part, filter_order, step, k, fails[k] AS here, len(list_filter(gone, lambda g: fails[g])) > 0 AS out, len(list_filter(fails, lambda y: y)) AS many, n, good, toxic
+  FROM c CROSS JOIN s),
+one AS (
+  SELECT part, filter_order, step, k,
+         sum(CASE WHEN NOT here AND NOT out THEN n ELSE 0 END) AS kept, sum(CASE WHEN here AND NOT out THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN here AND out THEN n ELSE 0 END) AS redundant, sum(CASE WHEN here AND many = 1 THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN here AND NOT out THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN here AND NOT out THEN toxic ELSE 0 END) AS toxic_lost
+  FROM r GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, k) AS BIGINT) AS shapley
+FROM one
+"""
+
+
+@query
+def op13_exact_dedup(spark, sf_dir):
+    return dedup.assigned(read(spark, sf_dir, "documents"))
+
+
+CHECKS["op13_exact_dedup"] = r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+FROM t
+"""
