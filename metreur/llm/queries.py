@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metreur.llm import audit, chat, decontaminate, dedup, neardup, order, packing, pii, quality, secrets, topk, warc
+from metreur.llm import audit, chat, decontaminate, dedup, neardup, order, packing, pii, quality, secrets, topk, trie, warc
 from metreur.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,6 +159,11 @@ FROM one
 """
 
 
+@query
+def op12_prefix_trie(spark, sf_dir):
+    return trie.rebuilt_nodes(read(spark, sf_dir, "conversations"))
+
+
 @query
 def op13_exact_dedup(spark, sf_dir):
     return dedup.assigned(read(spark, sf_dir, "documents"))
