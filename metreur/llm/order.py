@@ -9,7 +9,7 @@ file of equal strides, so slot s starts at byte ``(s mod per_shard) * stride`` o
 
 Texts are read twice and never shuffled: the first pass counts the ids of each input
 partition, from which every partition knows where its stream begins; the second makes
-the sequences, which are shuffled once, to their shards. Both passes describe the
+the sequences, which are shuffled once, each to the task of its shard. Both passes describe the
 rows they saw; if a partition is not the same in both, the count is taken anew.
 """
 
@@ -196,7 +196,7 @@ def materialise(
     """Write the training order of the documents. A null text is an empty one: the end token alone.
 
     ``docs`` must be a stored table (its partitions are read twice); repeated rows count
-    each. Ids are 16 bits wide where the end token, the largest id, allows it. The last
+    each. A text of any length is cut whole: a task holds one text's ids at a time beside its batch. Ids are 16 bits wide where the end token, the largest id, allows it. The last
     sequence is filled up with end tokens. No documents give no shards.
     """
     spark = docs.sparkSession
@@ -212,7 +212,8 @@ def materialise(
             total += ids
         shards = max(-(-(-(-total // length)) // per_shard), 1)
         pieces = texts.mapInArrow(_cutter(tokenizer, end, counts, total, length, key, kind), "slot bigint, at int, ids binary")
-        dealt = pieces.repartitionByRange(shards, F.expr(f"slot div {per_shard}")) if shards > 1 else pieces.repartition(1)
+        # Each shard is one task, dealt by its number: drawing ranges would read and cut every text once more.
+        dealt = pieces.repartitionById(shards, F.expr(f"cast(slot div {per_shard} as int)")) if shards > 1 else pieces.repartition(1)
         sorted_ = dealt.sortWithinPartitions("slot", "at")
         try:
             written = cut_lineage(sorted_.mapInArrow(_shards(folder, total, length, per_shard, end, kind), "shard bigint, file string, first_slot bigint, slots bigint, crc32 bigint"))
