@@ -131,7 +131,7 @@ def _judged(kind: str, spans: Column, certain, check, gazetteer) -> Column:
 def candidates(text: Column) -> Column:
     """All candidates of a text: array<struct<kind,start,end,base,votes,marks>>, by kind, then start."""
     text = F.coalesce(text, F.lit(""))
-    part = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2}+)"
+    part = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
     yes, no = (lambda v: F.lit(True)), (lambda v: F.lit(False))
     has = lambda p: text.rlike(p)
     tld = lambda v: F.lower(F.regexp_extract(v, r"([A-Za-z]{2,})[^A-Za-z]*$", 1)).isin(*TLDS)
@@ -259,7 +259,8 @@ def redact(docs: DataFrame, *, text: str = "text", length: str | None = "n_chars
 
     Overlapping spans become one mark, that of the first. Null texts stay null.
     """
-    rows = packed(docs, None, text=F.col(text), found=candidates(F.col(text)))
+    # Stored, so that the patterns run once: the counts are needed before the first span is decided.
+    rows = cut_lineage(packed(docs, [c for c in docs.columns if c != text], text=F.col(text), found=candidates(F.col(text))))
     model = train(counted(rows))
     name = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
