@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,6 +33,8 @@ LEAST = 1000
 ARCHIVE_BYTES = 32 << 20
 #: Bytes read from an archive at a time.
 READ_BYTES = 1 << 20
+#: Payload digests that are checked, with their bytes.
+DIGESTS = {"md5": 16, "sha1": 20, "sha256": 32, "sha512": 64}
 _VERSION = b"WARC/1."
 _MEMBER = b"\x1f\x8b\x08"
 _DATE = datetime(2020, 1, 1, tzinfo=UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
@@ -71,8 +74,39 @@ def member(data: bytes, level: int = 4) -> bytes:
     return squeeze.compress(data) + squeeze.flush()
 
 
+def _length(digits: bytes) -> int | None:
+    """A count of bytes; no number of more than eighteen digits is one."""
+    return int(digits) if digits.isdigit() and len(digits.lstrip(b"0")) <= 18 else None
+
+
+def _page(name: bytes) -> int | None:
+    """The page id of a record id. One of another form, or that needs more than 64 bits, is none."""
+    inner = name.removeprefix(b"<urn:page:").removesuffix(b">")
+    if not re.fullmatch(rb"-?[0-9]{1,19}", inner):
+        return None
+    return int(inner) if -(1 << 63) <= int(inner) < 1 << 63 else None
+
+
+def _said(value: bytes) -> tuple[str, bytes] | None:
+    """(algorithm, digest) of a digest field, in hexadecimal or base 32; None if it is neither."""
+    name, colon, text = value.decode("ascii", "replace").strip().partition(":")
+    name, text = (name.lower().replace("-", ""), text) if colon else ("sha1", name)
+    size = DIGESTS.get(name)
+    if size is None:
+        return name, b""  # of a kind that is not checked here
+    try:
+        raw = bytes.fromhex(text) if len(text) == 2 * size else base64.b32decode(text.upper() + "=" * (-len(text) % 8))
+    except ValueError:
+        return None
+    return (name, raw) if len(raw) == size else None
+
+
 def parse(data: bytes) -> tuple[dict, int] | None:
-    """The record at the start of ``data`` and its bytes; None unless all of it holds together."""
+    """The record at the start of ``data`` and its bytes; None unless all of it holds together.
+
+    A payload digest is checked if it is there; what is reported is the SHA-1 in any case
+    (of a revisit: the SHA-1 it names, else null).
+    """
     if not data.startswith(_VERSION):
         return None
     stop = data.find(b"\r\n\r\n")
@@ -84,46 +118,42 @@ def parse(data: bytes) -> tuple[dict, int] | None:
         if not colon:
             return None
         fields[name.strip().lower()] = value.strip()
-    try:
-        size = int(fields[b"content-length"])
-    except (KeyError, ValueError):
+    size = _length(fields.get(b"content-length", b""))
+    if size is None:
         return None
     end = stop + 4 + size
-    if size < 0 or data[end : end + 4] != b"\r\n\r\n":
+    if data[end : end + 4] != b"\r\n\r\n":
         return None
     block = data[stop + 4 : end]
     kind = fields.get(b"warc-type", b"").decode("ascii", "replace")
     http = block.find(b"\r\n\r\n")
     payload = block[http + 4 :] if http >= 0 else b""
-    said = fields.get(b"warc-payload-digest", b"").decode("ascii", "replace").removeprefix("sha1:")
-    try:
-        digest = base64.b32decode(said).hex()
-    except ValueError:
-        return None
-    if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
-        return None
-
-    def number(name: bytes) -> int | None:
-        inner = fields.get(name, b"").removeprefix(b"<urn:page:").removesuffix(b">")
-        return int(inner) if inner.lstrip(b"-").isdigit() else None
-
-    length = fields.get(b"warc-payload-length", b"")
+    digest = None
+    if b"warc-payload-digest" in fields:
+        said = _said(fields[b"warc-payload-digest"])
+        if said is None:
+            return None
+        if kind == "response" and said[1] and hashlib.new(said[0], payload).digest() != said[1]:
+            return None
+        digest = said[1].hex() if said[0] == "sha1" else None
+    if kind == "response":
+        digest = hashlib.sha1(payload).hexdigest()
     found = {
-        "page_id": number(b"warc-record-id"), "record_type": kind, "payload_digest": digest, "refers_to": number(b"warc-refers-to"),
-        "payload_bytes": len(payload) if kind == "response" else int(length) if length.isdigit() else None,
+        "page_id": _page(fields.get(b"warc-record-id", b"")), "record_type": kind, "payload_digest": digest, "refers_to": _page(fields.get(b"warc-refers-to", b"")),
+        "payload_bytes": len(payload) if kind == "response" else _length(fields.get(b"warc-payload-length", b"")),
         "url": fields.get(b"warc-target-uri", b"").decode("utf-8", "replace"), "payload": payload if kind == "response" else None,
     }
     return found, end + 4
 
 
-def _inflated(data: bytes) -> tuple[bytes, int] | None:
-    """The member at the start of ``data`` whole and checked, and its packed bytes."""
+def _inflated(data: bytes) -> tuple[bytes, int] | bool:
+    """The member at the start of ``data`` whole and checked, and its packed bytes; True if it is cut off, False if damaged."""
     pull = zlib.decompressobj(31)
     try:
         out = pull.decompress(data)
     except zlib.error:
-        return None
-    return (out, len(data) - len(pull.unused_data)) if pull.eof else None
+        return False
+    return (out, len(data) - len(pull.unused_data)) if pull.eof else True
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, object]]:
@@ -141,9 +171,10 @@ def salvage(data: bytes) -> Iterator[tuple[str, object]]:
             window = 1 << 16
             while True:
                 whole = _inflated(data[at : at + window])
-                if whole or at + window >= len(data) or window > 1 << 28:
+                if whole is not True or at + window >= len(data):
                     break
                 window *= 4
+            whole = whole if isinstance(whole, tuple) else None
             got = whole and parse(whole[0])
             if got and got[1] == len(whole[0]):
                 found = got[0], whole[1]
@@ -157,9 +188,9 @@ def salvage(data: bytes) -> Iterator[tuple[str, object]]:
             # A header of any length, but it holds no other version line.
             low = data[at:stop].lower() if stop < line else b""
             place = low.find(b"\ncontent-length:")
-            size = low[place + 16 :].split(b"\r\n")[0].strip() if place >= 0 else b""
-            if size.isdigit():
-                got = parse(data[at : stop + 4 + int(size) + 4])
+            size = _length(low[place + 16 :].split(b"\r\n")[0].strip()) if place >= 0 else None
+            if size is not None:
+                got = parse(data[at : stop + 4 + size + 4])
                 found = got and (got[0], got[1])
         if found:
             if bad >= 0:
@@ -230,7 +261,7 @@ def with_revisits(pages: DataFrame, *, id: str = "page_id", url: str = "url", ht
 
     Of payloads that are equal and have ``least`` bytes the one with the largest id is
     the response. Rows without an id are responses and are never referred to; rows that
-    repeat the largest id are all responses.
+    repeat the largest id are all responses. Other columns of ``pages`` are not looked at.
     """
     html_ = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(id).cast("bigint").alias("page_id"), F.col(url).cast("string").alias("url"), html_.alias("html"), F.sha1(html_.cast("binary")).alias("digest"))

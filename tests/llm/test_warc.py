@@ -78,3 +78,51 @@ def test_long_headers_of_plain_records():
     cut = records[0][: 1 << 20]
     found = list(warc.salvage(cut + b"\r\n" + records[1] + records[2]))
     assert found[0] == ("gap", (0, len(cut) + 2)) and [x[1]["page_id"] for _, x in found[1:]] == [1, 2]
+
+
+def changed(one: bytes, old: bytes, new: bytes) -> bytes:
+    assert old in one
+    return one.replace(old, new)
+
+
+def test_damaged_numbers_are_gaps_or_nulls_and_never_end_the_job(spark, tmp_path):
+    sha = hashlib.sha1(b"page").hexdigest()
+    good = [warc.record(k, "http://x/", b"page", sha, None) for k in range(3)]
+    size = good[0].split(b"Content-Length: ")[1].split(b"\r\n")[0]
+    wide = changed(good[0], b"Content-Length: " + size, b"Content-Length: " + b"9" * 5000)
+    odd = changed(good[0], b"<urn:page:0>", b"<urn:page:--7>")
+    large = changed(good[0], b"<urn:page:0>", b"<urn:page:99999999999999999999>")
+    for packed in (True, False):
+        parts = [warc.member(x) if packed else x for x in (good[0], wide, good[1], odd, large, good[2])]
+        found = list(warc.salvage(b"".join(parts)))
+        assert [(what, x if what == "gap" else x[1]["page_id"]) for what, x in found] == [
+            ("record", 0), ("gap", (len(parts[0]), len(parts[1]))), ("record", 1), ("record", None), ("record", None), ("record", 2),
+        ]
+    with open(f"{tmp_path}/a.warc", "wb") as out:
+        out.write(good[0] + wide + large + odd + good[1])
+    rows = warc.read(spark.createDataFrame([("a.warc",)], "archive string"), f"file://{tmp_path}").collect()
+    assert [(r.offset, r.gap_bytes, r.page_id) for r in rows if r.gap_bytes or r.page_id is not None] == [
+        (0, None, 0), (len(good[0]), len(wide), None), (len(good[0] + wide + large + odd), None, 1),
+    ]
+
+
+def test_records_without_digest_and_with_other_digests_are_read():
+    sha = hashlib.sha1(b"page").hexdigest()
+    one = warc.record(4, "http://x/", b"page", sha, None)
+    line = [x for x in one.split(b"\r\n") if x.startswith(b"WARC-Payload-Digest")][0]
+    said = {
+        b"": True, b"WARC-Payload-Digest: sha1:" + sha.encode() + b"\r\n": True, b"WARC-Payload-Digest: SHA-1:" + sha.upper().encode() + b"\r\n": True,
+        b"WARC-Payload-Digest: sha256:" + hashlib.sha256(b"page").hexdigest().encode() + b"\r\n": True, b"WARC-Payload-Digest: blake3:abc\r\n": True,
+        b"WARC-Payload-Digest: sha256:" + hashlib.sha256(b"other").hexdigest().encode() + b"\r\n": False, b"WARC-Payload-Digest: sha1:" + b"0" * 40 + b"\r\n": False,
+        b"WARC-Payload-Digest: sha1:nonsense\r\n": False,
+    }
+    for field, sound in said.items():
+        data = changed(one, line + b"\r\n", field)
+        found = list(warc.salvage(data))
+        if sound:
+            assert [(what, x[1]["page_id"], x[1]["payload_digest"], x[1]["payload"]) for what, x in found] == [("record", 4, sha, b"page")], field
+        else:
+            assert found == [("gap", (0, len(data)))], field
+    revisit = warc.record(5, "u", b"page", sha, 4)
+    found = list(warc.salvage(changed(revisit, [x for x in revisit.split(b"\r\n") if x.startswith(b"WARC-Payload-Digest")][0] + b"\r\n", b"")))
+    assert [(x[1]["refers_to"], x[1]["payload_digest"], x[1]["payload_bytes"]) for _, x in found] == [(4, None, 4)]
