@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from metreur.session import checkpoint_folder, cut_lineage, ship_package
 
-__all__ = ["ROW", "WORD_BYTES", "ascii_words", "bounded_batches", "checkpoint_folder", "cut_lineage", "listed", "packed", "read", "sha256_hex", "shared_folder"]
+__all__ = ["ROW", "Shelf", "WORD_BYTES", "ascii_words", "bounded_batches", "checkpoint_folder", "cut_lineage", "listed", "packed", "read", "sha256_hex", "shared_folder"]
 
 #: The struct that carries a row's own columns past an operator, so that names never clash.
 ROW = "__row"
@@ -47,6 +47,24 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+class Shelf:
+    """Steps of one operator stored as Parquet below the checkpoint folder, taken away when they are done with."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, shared_folder(spark, name)
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self, name: str | None = None) -> None:
+        """Delete one step, or all."""
+        jvm, context = self.spark._jvm, self.spark._jsc.sc()
+        path = jvm.org.apache.hadoop.fs.Path(self.folder if name is None else f"{self.folder}/{name}")
+        path.getFileSystem(context.hadoopConfiguration()).delete(path, True)
+
+
 def _word_table() -> bytes:
     table = bytearray(range(256))
     for b in range(128):

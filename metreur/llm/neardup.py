@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metreur.llm.common import ROW, cut_lineage, listed, packed
+from metreur.llm.common import ROW, Shelf, cut_lineage, listed, packed
 
 K = 64
 SHARED = 28
@@ -221,6 +221,7 @@ class _Linker:
     def __init__(self, docs: DataFrame, id: str, text: str):
         self.docs = docs.select(F.col(id).alias("doc"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
         self.spark = docs.sparkSession
+        self.shelf = Shelf(self.spark, "neardup")
         self.counted: DataFrame | None = None
 
     def lists(self, classes: DataFrame) -> DataFrame:
@@ -243,7 +244,7 @@ class _Linker:
         """Whole sets of all classes in the lists, each by the id and text of one row."""
         ids = cut_lineage(entries.select("rep").distinct().join(classes.select("rep", "doc", "mark"), "rep"))
         ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-        self.sets = cut_lineage(self.docs.join(ids, ["doc", "mark"]).select("rep", "text").mapInArrow(_sets, "rep bigint, whole binary"))
+        self.sets = self.shelf.store(self.docs.join(ids, ["doc", "mark"]).select("rep", "text").mapInArrow(_sets, "rep bigint, whole binary"), "sets")
 
     def compare(self, pairs: DataFrame, estimated: bool = False) -> None:
         """Count pairs (a, b); those that agree become edges."""
@@ -295,9 +296,13 @@ class _Linker:
         """Entries with ``m``, their shingles that another member of an open list has; without those that reach 0.75 with nobody."""
         ids = entries.select("rep").distinct()
         with _batches(self.spark, BATCH):
-            self.spread = cut_lineage(self.sets.join(ids, "rep", "left_semi").mapInArrow(_spread, _SPREAD))
-        alone = self.spread.groupBy("shingle").agg(F.count("*").alias("df"), F.min("rep").alias("rep")).where("df = 1")
-        alone = cut_lineage(alone.groupBy("rep").agg(F.count("*").alias("u")))
+            whole = self.shelf.store(self.sets.join(ids, "rep", "left_semi").mapInArrow(_spread, _SPREAD), "whole")
+        often = self.shelf.store(whole.groupBy("shingle").agg(F.count("*").alias("df"), F.min("rep").alias("rep")), "often")
+        alone = cut_lineage(often.where("df = 1").groupBy("rep").agg(F.count("*").alias("u")))
+        # From here on only shingles count that several members have.
+        self.often = often.where("df > 1").select("shingle", "df")
+        self.spread = self.shelf.store(whole.join(self.often, "shingle"), "spread")
+        self.shelf.clear("whole")
         found = entries.join(alone, "rep", "left").withColumn("m", F.col("n") - F.coalesce("u", F.lit(0))).drop("u")
         return cut_lineage(found.where("4 * m >= 3 * n"))
 
@@ -320,14 +325,25 @@ class _Linker:
         with _batches(self.spark, BATCH):
             extra = cut_lineage(mine.mapInArrow(_spread, _SPREAD))
         members = entries.select("rep", "n", "m", "comp").distinct()
-        often = self.spread.groupBy("shingle").agg(F.count("*").alias("df"))
         # A text that agrees shares at least ``least`` of these, so one of the rarest all but ``least`` - 1.
         least = F.ceil((F.col("n") + F.greatest(F.col("limit") + 1, F.ceil(F.col("n") * 3 / 4))) * 3 / 7) - F.col("both")
         mine = Window.partitionBy("rep")
-        rare = extra.join(often, "shingle").join(who, "rep").select("*", F.row_number().over(mine.orderBy("df", "shingle")).alias("at"), F.count("*").over(mine).alias("some"))
-        x = rare.where((F.col("df") > 1) & (F.col("at") <= F.col("some") - least + 1)).alias("x")
-        y = self.spread.join(members, "rep").alias("y")
-        on = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.comp") != F.col("y.comp")) & _fits("x", "y") & (F.col("y.n") > F.col("x.limit"))
+        ranked = extra.join(self.often, "shingle").join(who, "rep").select("rep", "shingle", F.row_number().over(mine.orderBy("df", "shingle")).alias("at"), F.count("*").over(mine).alias("some"))
+        ranked = self.shelf.store(ranked, "ranked")
+        who = who.withColumn("least", least)
+        # First against components: one row a shingle, however many members have it.
+        held = self.shelf.store(self.spread.join(members, "rep"), "held")
+        together = self.shelf.store(held.groupBy("shingle", "comp").agg(F.min("n").alias("small"), F.max("n").alias("large"), F.max("m").alias("m")), "together")
+        first = ranked.join(who, "rep").where(F.col("at") <= F.col("some") + 1 - F.col("least"))
+        x, y = first.alias("x"), together.alias("y")
+        reach = F.least(F.col("x.m"), F.col("y.m")) * 7 >= (F.col("x.n") + F.greatest(F.col("x.limit") + 1, F.col("y.small"))) * 3
+        met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("y.large") > F.col("x.limit")) & reach)
+        met = self.shelf.store(met.select("x.rep", F.col("y.comp").alias("other")).distinct(), "met")
+        # As a whole a component shares as much as any of its members, or more.
+        shared = ranked.join(met, "rep").join(together.select("shingle", F.col("comp").alias("other")), ["shingle", "other"]).groupBy("rep", "other").agg(F.count("*").alias("shared"))
+        likely = self.shelf.store(shared.join(who.select("rep", "least"), "rep").where("shared >= least").select("rep", "other"), "likely")
+        x, y = first.join(likely, "rep").alias("x"), held.alias("y")
+        on = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.other") == F.col("y.comp")) & _fits("x", "y") & (F.col("y.n") > F.col("x.limit"))
         large = x.join(y, on).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
         return small.unionByName(large).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
@@ -337,14 +353,14 @@ class _Linker:
         entries = self.likely(entries)
         self.compare(self.stars(entries, F.lit(True)))
         left = self.open(entries)
-        if left.isEmpty():
-            return self.parts
-        left = self.open(self.bounded(left))
+        if not left.isEmpty():
+            left = self.open(self.bounded(left))
         if not left.isEmpty():
             self.compare(self.stars(left, F.col("outside")))
             left = self.open(left)
         if not left.isEmpty():
             self.compare(self.rest(left), estimated=True)
+        self.shelf.clear()
         return self.parts
 
 
