@@ -118,6 +118,8 @@ class ByteIds:
         with open(path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.encoding = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.opens = np.zeros(max(ranks.values()) + 1, bool)
+        self.opens[[i for b, i in ranks.items() if b.startswith(b" ")]] = True
         self.kept = kept
         self.table: dict[str, bytes] = {}
 
@@ -132,15 +134,16 @@ class ByteIds:
         if not first or first[-1].isspace():
             return [self._encoded(text)]
         if None in found:
-            new: dict[str, bytes] = {}
-            for k in [k for k, f in enumerate(found) if f is None]:
-                p = pieces[k]
-                raw = new.get(p)
-                if raw is None:
-                    if not p or p[0].isspace() or p[-1].isspace():
-                        return [self._encoded(text)]
-                    raw = new[p] = self._encoded(" " + p)
-                found[k] = raw
+            gone = [k for k, f in enumerate(found) if f is None]
+            fresh = list(dict.fromkeys([pieces[k] for k in gone]))
+            if any(not p or p[0].isspace() or p[-1].isspace() for p in fresh):
+                return [self._encoded(text)]
+            # All in one go: a piece holds no space, so each begins with the only token that does.
+            every = np.array(self.encoding.encode_ordinary(" " + " ".join(fresh)), np.uint32)
+            raw, cuts = every.tobytes(), (4 * np.flatnonzero(self.opens[every])).tolist() + [4 * len(every)]
+            new = {p: raw[a:b] for p, a, b in zip(fresh, cuts[:-1], cuts[1:], strict=True)}
+            for k in gone:
+                found[k] = new[pieces[k]]
             if len(self.table) + len(new) <= self.kept:
                 self.table.update(new)
         return [self._encoded(first), *found]
