@@ -212,11 +212,12 @@ check("f18_signature", f"""SELECT source_id, pos, array_to_string({words('title'
     array_to_string({words('title', catalogue.COMPARISON_STOPWORDS)}, '|') AS tokens FROM spec_headings""", "spec_headings")
 check("f19_jaccard", f"""WITH s AS (SELECT line_id, {words('designation', catalogue.SIGNATURE_STOPWORDS)} AS a, {words('description', catalogue.SIGNATURE_STOPWORDS)} AS b
     FROM typed_lines) SELECT line_id, {overlap('a', 'b')} AS overlap FROM s""", "typed_lines")
-check("f20_output_names", r"""WITH b AS (
+NAMED = r"""b AS (
     SELECT source_id, dossier_id, doc_id, rtrim(substr('DPGF_' || trim(regexp_replace(dossier_id, '[^\p{L}\p{N}_\-]+', '_', 'g'), '_') || '_' ||
            trim(regexp_replace('LOT_' || lot_code || '_' || lot_title, '[^\p{L}\p{N}_\-]+', '_', 'g'), '_'), 1, 170), '_') AS base FROM spec_documents),
-  r AS (SELECT *, row_number() OVER (PARTITION BY dossier_id, lower(base) ORDER BY doc_id) AS n FROM b)
-    SELECT source_id, CASE WHEN n = 1 THEN base ELSE substr(base, 1, 170 - length('_' || n)) || '_' || n END || '.xlsx' AS lot_file FROM r""", "spec_documents")
+  r AS (SELECT *, row_number() OVER (PARTITION BY dossier_id, lower(base) ORDER BY doc_id) AS n FROM b),
+  nm AS (SELECT source_id, CASE WHEN n = 1 THEN base ELSE substr(base, 1, 170 - length('_' || n)) || '_' || n END || '.xlsx' AS lot_file FROM r)"""
+check("f20_output_names", f"WITH {NAMED} SELECT * FROM nm", "spec_documents")
 check("f20_sheet_titles", r"""WITH b AS (
     SELECT source_id, dossier_id, doc_id, substr(trim(regexp_replace('LOT ' || lot_code || ' ' || lot_title, '\s+', ' ', 'g')), 1, 31) AS base FROM spec_documents),
   r AS (SELECT *, row_number() OVER (PARTITION BY dossier_id, lower(base) ORDER BY doc_id) AS n FROM b)
@@ -396,6 +397,65 @@ check("e2_skeleton_anchors", f"""WITH c AS (SELECT chapter, {words('title', cata
     s AS (SELECT source_id, pos, {words('title', catalogue.SIGNATURE_STOPWORDS)} AS x FROM spec_headings WHERE level <= 2),
     j AS (SELECT source_id, chapter, CAST(pos AS BIGINT) AS pos, {overlap('w', 'x')} AS score FROM s, c)
     SELECT source_id, chapter, pos, score FROM j WHERE score >= 0.5 QUALIFY row_number() OVER (PARTITION BY source_id, chapter ORDER BY score DESC, pos) = 1""", "spec_headings")
+LOTS = f"""lots AS (SELECT source_id, CASE WHEN extension = '.docx' THEN 'vrd' ELSE {first_rule(norm('lot_title'), [(p, f) for f, _, p in catalogue.LOT_FAMILY_RULES], "'autre'")} END AS family
+    FROM spec_documents),
+  l AS (SELECT source_id, CAST(pos AS BIGINT) AS pos, 'ln_' || source_id || '_' || pos AS line_id, title AS designation, level, level <= 2 AS section,
+        CASE WHEN level > 2 THEN 'Ens' END AS unit, 'deterministic-v2' AS origin, {norm('title')} AS t FROM spec_headings)"""
+LUMP = "CASE WHEN {u} = 'Ens' THEN CASE {f} " + " ".join(f"WHEN {quoted(f)} THEN {quoted(u)}" for f, u in catalogue.FAMILY_LUMP_SUM.items()) + " ELSE 'Ens' END ELSE {u} END"
+CHOSEN = """chosen(source_id{key}, k, kept) AS (
+    SELECT source_id{key}, 0, CAST([] AS INTEGER[]) FROM cand WHERE rn = 1
+    UNION ALL SELECT c.source_id{ckey}, k + 1, CASE WHEN len(list_intersect(kept, clashes)) > 0 THEN kept ELSE list_append(kept, c.i) END
+    FROM chosen c0 JOIN cand c ON c.source_id = c0.source_id{on} AND c.rn = c0.k + 1),
+  done AS (SELECT source_id{key}, unnest(kept) AS i, unnest(range(1, len(kept) + 1)) AS n FROM chosen QUALIFY k = max(k) OVER (PARTITION BY source_id{key}))"""
+CHILDREN = ", ".join(f"({i}, {rule}, {quoted(d)}, {quoted(u)})" for i, (rule, d, u) in enumerate(catalogue.decomposition_children()))
+
+
+def same_line(a: str, b: str) -> str:
+    short, long = f"least(length({a}), length({b}))", f"greatest(length({a}), length({b}))"
+    return f"({short} >= 6 AND {short} >= 0.7 * {long} AND (contains({a}, {b}) OR contains({b}, {a})))"
+
+
+check("e1_apply_decomposition", f"""WITH RECURSIVE {LOTS},
+  ch AS (SELECT i, rule, d, u, {norm('d')} AS key FROM (VALUES {CHILDREN}) v(i, rule, d, u)),
+  cl AS (SELECT a.i, list(b.i ORDER BY b.i) AS clashes FROM ch a JOIN ch b ON {same_line('a.key', 'b.key')} GROUP BY a.i),
+  fired AS (SELECT source_id, pos, level, designation, unnest([{RULES}]) AS rule FROM l WHERE NOT section),
+  tr AS (SELECT source_id, rule, min(pos) AS pos, arg_min(level, pos) AS level FROM fired WHERE rule IS NOT NULL GROUP BY ALL),
+  has AS (SELECT DISTINCT source_id, i FROM (SELECT DISTINCT source_id, t FROM l WHERE length(t) < 200) x JOIN ch ON {same_line('x.t', 'ch.key')}),
+  cand AS (SELECT tr.source_id, ch.i, clashes, tr.pos, tr.level, row_number() OVER (PARTITION BY tr.source_id ORDER BY tr.pos, ch.i) AS rn
+           FROM tr JOIN ch USING (rule) JOIN cl USING (i) ANTI JOIN has ON has.source_id = tr.source_id AND has.i = ch.i),
+  {CHOSEN.format(key='', ckey='', on='')},
+  placed AS (SELECT d.source_id, d.i, d.n, c.pos, c.level, ch.d, ch.u, family, family IN ({listed(catalogue.CLOSING_CHILD_FAMILIES)}) AND regexp_matches(key, {quoted(catalogue.CLOSING_CHILD_PATTERN)}) AS waits
+         FROM done d JOIN cand c USING (source_id, i) JOIN ch USING (i) JOIN lots USING (source_id)),
+  put AS (
+    SELECT source_id, pos AS a, 0 AS b, 0 AS c, line_id, designation, level, unit, origin FROM l
+    UNION ALL SELECT source_id, CASE WHEN waits THEN coalesce((SELECT min(x.pos) FROM l x WHERE x.source_id = placed.source_id AND x.section AND x.pos > placed.pos),
+                                       (SELECT max(x.pos) + 1 FROM l x WHERE x.source_id = placed.source_id)) ELSE pos END,
+           CASE WHEN waits THEN -1 ELSE 1 END, n, 'ln_' || left(sha1(source_id || '||' || d || '|' || (900000 + n)), 14), d, level + 1, {LUMP.format(u='u', f='family')}, 'rule-derived' FROM placed)
+    SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY a, b, c) AS pos, line_id, designation, CAST(level AS INT) AS level, unit, origin FROM put""",
+      "spec_headings", "spec_documents")
+ITEMS = ", ".join(
+    f"({quoted(family)}, {i}, {chapter}, {quoted(d)}, {quoted(u)})" for family in catalogue.LOT_SKELETONS for i, (chapter, d, u) in enumerate(catalogue.skeleton_items(family))
+)
+FAMILY_CHAPTERS = ", ".join(f"({quoted(family)}, {i}, {quoted(title)})" for family, chapters in catalogue.LOT_SKELETONS.items() for i, (title, _) in enumerate(chapters))
+check("e2_apply_skeleton", f"""WITH RECURSIVE {LOTS},
+  it AS (SELECT family, i, chapter, d, u, {words('d', catalogue.SIGNATURE_STOPWORDS)} AS w FROM (VALUES {ITEMS}) v(family, i, chapter, d, u)),
+  cl AS (SELECT a.family, a.i, list(b.i ORDER BY b.i) AS clashes FROM it a JOIN it b ON a.family = b.family AND {overlap('a.w', 'b.w')} >= 0.6 GROUP BY ALL),
+  cp AS (SELECT family, chapter, {words('title', catalogue.SIGNATURE_STOPWORDS)} AS w FROM (VALUES {FAMILY_CHAPTERS}) v(family, chapter, title)),
+  lw AS (SELECT l.*, family, {words('designation', catalogue.SIGNATURE_STOPWORDS)} AS x FROM l JOIN lots USING (source_id)),
+  an AS (SELECT source_id, family, chapter, pos, level FROM (SELECT source_id, lw.family, chapter, pos, level, {overlap('w', 'x')} AS score FROM lw JOIN cp ON cp.family = lw.family WHERE section)
+         WHERE score >= 0.5 QUALIFY row_number() OVER (PARTITION BY source_id, family, chapter ORDER BY score DESC, pos) = 1),
+  has AS (SELECT DISTINCT source_id, i FROM lw JOIN it ON it.family = lw.family WHERE {overlap('w', 'x')} >= 0.6),
+  cand AS (SELECT an.source_id, it.i, clashes, an.chapter, an.pos, an.level, row_number() OVER (PARTITION BY an.source_id ORDER BY it.i) AS rn
+           FROM an JOIN it USING (family, chapter) JOIN cl USING (family, i) ANTI JOIN has ON has.source_id = an.source_id AND has.i = it.i),
+  {CHOSEN.format(key='', ckey='', on='')},
+  stop AS (SELECT an.source_id, an.chapter, min(x.pos) AS stop FROM an JOIN l x ON x.source_id = an.source_id AND x.pos > an.pos AND x.level <= an.level GROUP BY ALL),
+  placed AS (SELECT d.source_id, d.n, c.chapter, c.level, it.d, it.u, lots.family, coalesce(stop, (SELECT max(x.pos) + 1 FROM l x WHERE x.source_id = d.source_id)) AS stop
+         FROM done d JOIN cand c USING (source_id, i) JOIN lots USING (source_id) JOIN it ON it.family = lots.family AND it.i = d.i LEFT JOIN stop ON stop.source_id = d.source_id AND stop.chapter = c.chapter),
+  put AS (
+    SELECT source_id, pos AS a, 1 AS b, 0 AS c, 0 AS e, 0 AS f, line_id, designation, level, unit, origin FROM l
+    UNION ALL SELECT source_id, stop, 0, -level, chapter, n, 'ln_' || left(sha1(source_id || '|skeleton|' || d || '|' || n), 14), d, level + 1, {LUMP.format(u='u', f='family')}, 'skeleton' FROM placed)
+    SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY a, b, c, e, f) AS pos, line_id, designation, CAST(level AS INT) AS level, unit, origin FROM put""",
+      "spec_headings", "spec_documents")
 check("e3_fill_missing_units", """SELECT line_id,
         CASE WHEN hit THEN CASE WHEN s = 'Ens' AND source_id LIKE '%1' THEN 'Ft' ELSE s END ELSE unit END AS unit,
         CASE WHEN hit THEN 'llm' ELSE unit_source END AS unit_source, CASE WHEN hit THEN 0.7::DOUBLE ELSE unit_confidence END AS unit_confidence
@@ -448,6 +508,17 @@ SIDES = f"""g AS (SELECT DISTINCT pair, {norm('designation')} AS gen_text, {word
   r AS (SELECT DISTINCT pair, {norm('designation')} AS ref_text, {words('designation', catalogue.COMPARISON_STOPWORDS)} AS b FROM ref_lines)"""
 check("j4_shared_vocabulary", f"""WITH {SIDES}, j AS (SELECT pair, gen_text, ref_text, {overlap('a', 'b')} AS overlap FROM g JOIN r USING (pair))
     SELECT * FROM j WHERE overlap >= 0.24 - 1e-9""", "gen_lines", "ref_lines")
+check("j5_match_by_vocabulary", f"""WITH RECURSIVE {SIDES},
+  j AS (SELECT * FROM (SELECT pair, gen_text, ref_text, {overlap('a', 'b')} AS overlap FROM g JOIN r USING (pair)) WHERE overlap >= 0.4 - 1e-9),
+  gl AS (SELECT pair, gen_index, {norm('designation')} AS gen_text FROM gen_lines), rl AS (SELECT pair, ref_index, {norm('designation')} AS ref_text FROM ref_lines),
+  e AS (SELECT pair, gen_index, ref_index, overlap + CAST((length(gen_text) * 7 + length(ref_text) * 13) % 101 AS DOUBLE) / 1000 AS score
+        FROM j JOIN gl USING (pair, gen_text) JOIN rl USING (pair, ref_text)),
+  m(pair, gs, rs, gen_index, ref_index, score) AS (
+    SELECT DISTINCT pair, CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE) FROM e
+    UNION ALL SELECT pair, list_append(gs, g), list_append(rs, r), g, r, s FROM (
+      SELECT m.pair, gs, rs, e.gen_index AS g, e.ref_index AS r, e.score AS s, row_number() OVER (PARTITION BY m.pair ORDER BY e.score DESC, e.gen_index DESC, e.ref_index DESC) AS n
+      FROM m JOIN e ON e.pair = m.pair WHERE NOT list_contains(gs, e.gen_index) AND NOT list_contains(rs, e.ref_index)) WHERE n = 1)
+    SELECT pair, gen_index, ref_index, score FROM m WHERE gen_index IS NOT NULL""", "gen_lines", "ref_lines")
 KEYED = """km AS (SELECT pair, g.gen_index, r.ref_index FROM (SELECT pair, designation, max(gen_index) AS gen_index FROM gen_lines GROUP BY ALL) g
     JOIN (SELECT pair, designation, max(ref_index) AS ref_index FROM ref_lines GROUP BY ALL) r USING (pair, designation))"""
 check("j6_unmatched", f"""WITH {KEYED} SELECT pair, 'generated' AS side, gen_index AS line_index, designation FROM gen_lines ANTI JOIN km USING (pair, gen_index)
@@ -487,6 +558,31 @@ check("a4_bill_rollup", f"""WITH {TOTALS}
     FROM bill_lines WHERE kind = 'item' AND included AND code NOT LIKE '4.3%' GROUP BY source_id, left(code, 3)
     UNION ALL SELECT source_id, k, '', CAST(round(a, 2) AS DOUBLE) FROM (
         SELECT source_id, unnest(['total_ht', 'prorata', 'total_with_prorata', 'vat', 'total_ttc']) AS k, unnest([ht, pr, hp, vat, hp + vat]) AS a FROM w)""", "bill_lines")
+BILL = """l AS (SELECT *, CASE WHEN code = '' THEN greatest(1, level) ELSE len(string_split(code, '.')) END AS depth,
+         CAST(quantity * unit_price AS DECIMAL(28, 8)) AS amount FROM priced_lines),
+  br AS (SELECT source_id, pos, code, level, (SELECT min(b.pos) FROM l b WHERE b.source_id = a.source_id AND b.pos > a.pos AND b.level <= a.level) AS leave
+         FROM l a WHERE kind = 'section' AND depth = 2 AND NOT contains(lower(designation), 'descriptif des ouvrages')),
+  bs AS (SELECT br.source_id, br.pos, br.code, br.leave, sum(coalesce(l.amount, 0)) AS amount FROM br JOIN l ON l.source_id = br.source_id AND l.pos > br.pos
+         AND (br.leave IS NULL OR l.pos < br.leave) AND l.kind = 'item' AND l.included GROUP BY ALL),
+  tt AS (SELECT source_id, CAST(coalesce(sum(amount) FILTER (kind = 'item' AND included), 0) AS DECIMAL(28, 4)) AS ht FROM l GROUP BY source_id),
+  tw AS (SELECT source_id, CAST(ht AS DECIMAL(28, 8)) AS ht, CAST(ht * 0.015 AS DECIMAL(28, 8)) AS pr FROM tt),
+  tv AS (SELECT source_id, ht, pr, ht + pr AS hp, CAST((ht + pr) * 0.2 AS DECIMAL(28, 8)) AS vat FROM tw),
+  put AS (
+    SELECT source_id, pos AS spot, 1 AS step, 0 AS back, kind AS row_kind, pos, code,
+           CASE WHEN depth <= 2 THEN upper(CASE WHEN kind = 'item' AND NOT included THEN designation || ' (OPTION / VARIANTE)' ELSE designation END)
+                WHEN kind = 'item' AND NOT included THEN designation || ' (OPTION / VARIANTE)' ELSE designation END AS designation,
+           CASE WHEN kind = 'item' THEN CASE WHEN unit = '' THEN 'Ens' ELSE unit END END AS unit,
+           CASE WHEN kind = 'item' THEN CAST(quantity AS DOUBLE) END AS quantity, CASE WHEN kind = 'item' THEN CAST(unit_price AS DOUBLE) END AS unit_price,
+           CASE WHEN kind = 'item' THEN amount END AS amount FROM l
+    UNION ALL SELECT source_id, coalesce(leave, 1000000000), 0, -pos, 'subtotal', pos, code, trim('Sous-total ' || code), NULL, NULL, NULL, amount FROM bs
+    UNION ALL SELECT source_id, pos, 2, -pos, 'subtotal', pos, code, trim('Sous-total ' || code), NULL, NULL, NULL, CASE WHEN included THEN coalesce(amount, 0) ELSE 0 END
+    FROM l WHERE kind = 'item' AND depth = 2
+    UNION ALL SELECT source_id, 1000000000, 3, k, ['total_ht', 'prorata', 'total_with_prorata', 'vat', 'total_ttc'][k], NULL, '',
+           ['TOTAL € H.T. hors prorata', 'Prorata 1.5%', 'TOTAL € H.T. compris prorata', 'TVA à 20.00 %', 'TOTAL € T.T.C.'][k], NULL, NULL, NULL, [ht, pr, hp, vat, hp + vat][k]
+    FROM tv, (SELECT unnest(range(1, 6)) AS k)),
+  bill AS (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY spot, step, back) AS row_no, row_kind, pos, code, designation, unit, quantity, unit_price,
+           CAST(round(amount, 2) AS DOUBLE) AS amount FROM put)"""
+check("a4_bill_rows", f"WITH {BILL} SELECT * FROM bill", "priced_lines")
 UNIT_CLASS = """CASE lower({c}) WHEN 'm2' THEN 'surface' WHEN 'm²' THEN 'surface' WHEN 'ml' THEN 'longueur' WHEN 'm' THEN 'longueur' WHEN 'ens' THEN 'forfait' ELSE 'forfait' END"""
 COUNTS = f"""{KEYED}, mk AS (SELECT km.pair, {UNIT_CLASS.format(c='g.unit')} = {UNIT_CLASS.format(c='r.unit')} AS ok
     FROM km JOIN gen_lines g USING (pair, gen_index) JOIN ref_lines r USING (pair, ref_index)),
@@ -530,3 +626,12 @@ check("k1_export_contract", """WITH l AS (SELECT *, replace(source_id, 'src_', '
             title, CASE WHEN level > 2 THEN 'Ens' END, true, page, NULL, NULL, NULL FROM spec_headings JOIN l USING (source_id))
     SELECT *, '1.0' AS schema_version, 'metreur' AS source_application, CAST(NULL AS DOUBLE) AS quantity FROM r""", "spec_headings", "spec_documents", "dossiers")
 check("k3_snapshot_revision", "SELECT '2024-01-01T00:00:00Z' AS revision, line_id, designation FROM typed_lines", "typed_lines")
+check("k2_export_rows", f"""WITH {NAMED}, {BILL} SELECT lot_file, count(*) AS n_rows, max(row_no) AS last_row, count(*) FILTER (row_kind = 'subtotal') AS n_subtotals,
+    max(amount) FILTER (row_kind = 'total_ttc') AS total_ttc, count(*) AS listed_rows FROM bill JOIN nm USING (source_id) GROUP BY lot_file""", "spec_documents", "priced_lines")
+check("d17_reprocess", """WITH c AS (SELECT source_id, sum(length(text)) AS n FROM spec_blocks GROUP BY source_id), h AS (SELECT source_id, count(*) AS n, count(*) FILTER (pos % 5 = 0) AS e,
+      count(*) FILTER (level > 2) AS items FROM spec_headings GROUP BY source_id),
+    f AS (SELECT source_id, doc_id % 6 = 0 AS changed, page_count, coalesce(c.n, 0) AS chars, coalesce(h.n, 0) AS n, coalesce(h.e, 0) AS e, coalesce(h.items, 0) AS items
+          FROM spec_documents LEFT JOIN c USING (source_id) LEFT JOIN h USING (source_id))
+    SELECT source_id, changed, CAST(chars + CASE WHEN changed THEN 8 ELSE 0 END AS BIGINT) AS character_count, page_count, CASE WHEN NOT changed THEN n END AS kept_lines,
+           CASE WHEN NOT changed THEN e END AS kept_edits, CASE WHEN NOT changed THEN CASE WHEN items = 0 THEN 'failed' ELSE 'ready' END END AS kept_status FROM f""",
+      "spec_documents", "spec_blocks", "spec_headings")

@@ -103,8 +103,9 @@ def fold_table() -> tuple[str, str, dict[str, str]]:
 def normalize_text(c) -> Column:
     """Comparison form of a text, in built-in expressions.
 
-    One pass of ``translate`` for letters that map to one letter or none; the
-    rare letters that become several are expanded only in rows that hold one.
+    Plain ASCII takes a short way of two patterns. Elsewhere one pass of ``translate``
+    for letters that map to one letter or none; the rare letters that become several
+    are expanded only in rows that hold one.
     """
     letters, replacements, longer = fold_table()
     text = as_column(c)
@@ -119,7 +120,11 @@ def normalize_text(c) -> Column:
     text = F.when(text.rlike(_ranges(longer)), expanded).otherwise(text)
     for letter, folded in FREQUENT.items():
         text = F.replace(text, F.lit(letter), F.lit(folded))
-    return F.btrim(_one_space(F.lower(F.translate(text, letters, replacements))), F.lit(" "))
+    folded = F.btrim(_one_space(F.lower(F.translate(text, letters, replacements))), F.lit(" "))
+    given = as_column(c)
+    blank = r"[\x09-\x0d\x1c-\x1f]"
+    plain = F.regexp_replace(F.lower(F.replace(given, F.lit("`"), F.lit("'"))), rf"(?:{blank}|\x20){{2,}}|{blank}", " ")
+    return F.when(given.rlike(r"[^\x00-\x7f]"), folded).otherwise(F.btrim(plain, F.lit(" ")))
 
 
 @F.pandas_udf(T.StringType())

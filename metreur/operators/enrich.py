@@ -10,9 +10,10 @@ ever sees the lines of a whole document.
 from __future__ import annotations
 
 import json
+from collections import Counter
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from metreur import catalogue
@@ -84,6 +85,79 @@ def _items_rows(family: str):
     ]
 
 
+#: Letters that index a designation: two lines that read the same have as many in a row in common.
+GRAM = 6
+
+
+def _index(spark: SparkSession, rows, schema: str) -> DataFrame:
+    """A table of the catalogue's index; a constant, and small enough to stand beside every scan."""
+    return spark.range(1).select(F.explode(_constant(rows, f"array<struct<{schema}>>")).alias("i")).select("i.*")
+
+
+@lru_cache(maxsize=1)
+def _gram_rows():
+    """Runs of letters of each child's key; ``chosen``: the one of each key that fewest keys have."""
+    keys = [(row["child"], row["key"]) for row in _children_rows()]
+    grams = {child: list(dict.fromkeys(key[k : k + GRAM] for k in range(len(key) - GRAM + 1))) for child, key in keys}
+    often = Counter(g for own in grams.values() for g in own)
+    out = []
+    for child, key in keys:
+        rare = min(grams[child], key=lambda g: (often[g], g), default=None)
+        out += [{"gram": g, "child": child, "key": key, "chosen": g == rare} for g in grams[child]]
+    return out
+
+
+def _held_children(lines: DataFrame) -> DataFrame:
+    """Children each document holds already: source_id, child.
+
+    One of two such texts holds the other and is not much longer. Where the line holds a
+    key it has the key's chosen run of letters; where a key holds the line it has the line's
+    first run. So lines of a fitting length meet the index by their runs, and only what
+    meets is compared.
+    """
+    longest = max(len(row["key"]) for row in _children_rows())
+    texts = lines.select("source_id", normalize_text("designation").alias("text")).where(F.length("text").between(GRAM, int(longest / 0.7) + 1))
+    at = F.sequence(F.lit(1), F.length("text") - (GRAM - 1))
+    runs = F.array_distinct(F.transform(at, lambda k: F.substring(F.col("text"), k, F.lit(GRAM))))
+    spread = texts.select("source_id", "text", F.posexplode(runs).alias("at", "gram"))
+    met = spread.join(F.broadcast(_index(lines.sparkSession, _gram_rows(), "gram:string,child:int,key:string,chosen:boolean")), "gram")
+    met = met.where((F.col("at") == 0) | F.col("chosen"))
+    short, long = F.least(F.length("text"), F.length("key")), F.greatest(F.length("text"), F.length("key"))
+    same = (short >= GRAM) & (short >= 0.7 * long) & (F.contains("text", "key") | F.contains("key", "text"))
+    return met.where(same).select("source_id", "child").distinct()
+
+
+def _held_items(lines: DataFrame, family: str) -> DataFrame:
+    """Standard items each document holds already: source_id, item.
+
+    Sets of words that agree to 0.6 share one of the item's rarest words, all but as many as
+    it can miss; lines meet the items by those.
+    """
+    rows = _items_rows(family)
+    often = Counter(w for row in rows for w in row["words"])
+    index = []
+    for row in rows:
+        rare = sorted(row["words"], key=lambda w: (often[w], w))
+        least = -(-len(rare) * 3 // 5)
+        index += [{"word": w, "item": row["item"], "words": row["words"]} for w in rare[: len(rare) - least + 1]]
+    spread = lines.select("source_id", signature("designation").alias("own")).select("source_id", "own", F.explode("own").alias("word"))
+    met = spread.join(F.broadcast(_index(lines.sparkSession, index, "word:string,item:int,words:array<string>")), "word")
+    return met.where(jaccard("words", "own") >= 0.6).select("source_id", "item").distinct()
+
+
+def _first_after(asked: DataFrame, rows: DataFrame, at: str, place: str, width: int, fits: Column, name: str) -> DataFrame:
+    """``asked`` rows (source_id and keys, ``at``) with the least ``place`` behind ``at`` of ``rows`` that fit.
+
+    A document has few asked rows, bounded by the catalogue, and may have any number of
+    others: they meet by stretches of ``width`` places, each reduced on its own.
+    """
+    cut = rows.withColumn("__cut", F.expr(f"{place} div {width}"))
+    here = cut.select("source_id", "__cut").distinct().join(asked, "source_id")
+    keys = [c for c in asked.columns if c != at]
+    met = cut.join(here, ["source_id", "__cut"]).where((F.col(place) > F.col(at)) & fits)
+    return met.groupBy(*keys).agg(F.min(place).alias(name))
+
+
 def _choose(candidates: Column, key: str) -> Column:
     """Numbers of the candidates kept, in order: one that clashes with a kept one is left out."""
     return F.aggregate(
@@ -142,20 +216,8 @@ def _decomposed(lines: DataFrame, lots: DataFrame) -> DataFrame:
     """Lines with ``slot``, children of the decomposition rules among them."""
     child_type = "array<struct<child:int,rule:int,designation:string,unit:string,key:string,clashes:array<int>>>"
     children = _constant(_children_rows(), child_type)
-    length = F.length("normalized")
-    held = F.filter(
-        children,
-        lambda c: (F.least(length, F.length(c["key"])) >= 6)
-        & (F.least(length, F.length(c["key"])) >= 0.7 * F.greatest(length, F.length(c["key"])))
-        & (F.contains(F.col("normalized"), c["key"]) | F.contains(c["key"], F.col("normalized"))),
-    )
     triggers = decomposition_triggers(lines)
-    present = (
-        lines.withColumn("normalized", normalize_text("designation"))
-        .select("source_id", F.explode(held["child"]).alias("child"))
-        .groupBy("source_id")
-        .agg(F.collect_set("child").alias("present"))
-    )
+    present = _held_children(lines).groupBy("source_id").agg(F.collect_set("child").alias("present"))  # at most the catalogue
     kept = (
         triggers.withColumn("child", F.explode(F.filter(children, lambda c: c["rule"] == F.col("rule"))))
         .groupBy("source_id")
@@ -199,14 +261,8 @@ def _decomposed(lines: DataFrame, lots: DataFrame) -> DataFrame:
     sections = lines.where((F.col("kind") == "section") & (F.col("level") <= 2)).select(
         "source_id", F.col("pos").alias("section_pos")
     )
-    closing = (
-        kept.where("waits")
-        .select("source_id", "n", F.col("c.pos").alias("from_pos"))
-        .join(sections, "source_id")
-        .where(F.col("section_pos") > F.col("from_pos"))
-        .groupBy("source_id", "n")
-        .agg(F.min("section_pos").alias("section_pos"))
-    )
+    waiting = kept.where("waits").select("source_id", "n", F.col("c.pos").alias("from_pos"))
+    closing = _first_after(waiting, sections, "from_pos", "section_pos", ordered.CHUNK, F.lit(True), "section_pos")
     placed = kept.join(closing, ["source_id", "n"], "left").join(ends, "source_id")
     slot = F.when(
         F.col("waits"), F.coalesce("section_pos", "end_pos") * _SLOTS + F.col("n") * _STEP
@@ -259,15 +315,7 @@ def _skeleton_lines(lines: DataFrame, family: str) -> DataFrame:
     item_type = "array<struct<item:int,chapter:int,designation:string,unit:string,words:array<string>,clashes:array<int>>>"
     items = _constant(_items_rows(family), item_type)
     anchors = skeleton_anchors(lines, family, "slot")
-    present = (
-        lines.withColumn("words_", signature("designation"))
-        .select(
-            "source_id",
-            F.explode(F.filter(items, lambda i: jaccard(i["words"], F.col("words_")) >= 0.6)["item"]).alias("item"),
-        )
-        .groupBy("source_id")
-        .agg(F.collect_set("item").alias("present"))
-    )
+    present = _held_items(lines, family).groupBy("source_id").agg(F.collect_set("item").alias("present"))  # at most the catalogue
     kept = (
         anchors.withColumn("i", F.explode(F.filter(items, lambda i: i["chapter"] == F.col("chapter"))))
         .groupBy("source_id")
@@ -297,13 +345,10 @@ def _skeleton_lines(lines: DataFrame, family: str) -> DataFrame:
             F.get(F.filter("candidates", lambda c: c["item"] == F.col("item")), F.lit(0)).alias("c"),
         )
     )
-    after = (
-        lines.select("source_id", "slot", F.col("level").alias("line_level"))
-        .join(anchors, "source_id")
-        .where((F.col("slot") > F.col("anchor.anchor_order")) & (F.col("line_level") <= F.col("anchor.level")))
-        .groupBy("source_id", "chapter")
-        .agg(F.min("slot").alias("stop"))
-    )
+    asked = anchors.select("source_id", "chapter", F.col("anchor.anchor_order").alias("from_slot"), F.col("anchor.level").alias("from_level"))
+    rows = lines.select("source_id", "slot", F.col("level").alias("line_level"))
+    after = _first_after(asked, rows, "from_slot", "slot", ordered.CHUNK * _SLOTS, F.col("line_level") <= F.col("from_level"), "stop")
+    after = after.drop("from_level")
     ends = (
         lines.groupBy("source_id")
         .agg(F.max("slot").alias("last"))

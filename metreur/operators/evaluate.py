@@ -10,9 +10,8 @@ against each other when lines are matched.
 
 from __future__ import annotations
 
-import heapq
+import uuid
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,11 +19,9 @@ from metreur.functions.similarity import ratio_ceiling, sequence_ratio
 from metreur.functions.text import comparison_tokens, jaccard, normalize_text
 from metreur.functions.units import unit_class
 from metreur.operators import ordered
-from metreur.session import cut_lineage
+from metreur.session import checkpoint_folder, cut_lineage
 
 MATCH_THRESHOLD = 0.62
-# pairs of bills up to this many texts, lines and likenesses are matched in one Arrow group
-GROUP_ROWS = 100_000
 _MARGIN = 1e-9
 
 
@@ -100,79 +97,58 @@ def _members(lines: DataFrame, edges: DataFrame, index: str, text: str) -> DataF
     )
 
 
-def _match_group(edges: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-    """Greedy matching of one pair of bills: best score first, then greatest indexes."""
-    pools = {key: sorted(part, reverse=True) for key, part in members.groupby(["side", "text"])["idx"]}
-    found = []
-    for score, level in edges.sort_values("score", ascending=False).groupby("score", sort=False):
-        partners = level.groupby("gen_text")["ref_text"].agg(list).to_dict()
-        queue = [(-pools["g", text][0], text) for text in partners if pools["g", text]]
-        heapq.heapify(queue)
-        while queue:
-            _, text = heapq.heappop(queue)
-            open_refs = [ref for ref in partners[text] if pools["r", ref]]
-            if not open_refs:
-                continue
-            ref = max(open_refs, key=lambda name: pools["r", name][0])
-            found.append((level["pair"].iat[0], pools["g", text].pop(0), pools["r", ref].pop(0), score))
-            if pools["g", text]:
-                heapq.heappush(queue, (-pools["g", text][0], text))
-    return pd.DataFrame(found, columns=["pair", "gen_index", "ref_index", "score"])
-
-
-MATCH_SCHEMA = "pair string, gen_index bigint, ref_index bigint, score double"
-
-
-def match_in_groups(edges: DataFrame, generated: DataFrame, reference: DataFrame) -> DataFrame:
-    """Matching of pairs of bills small enough for one group each."""
-    members = (
-        _members(generated, edges, "gen_index", "gen_text")
-        .withColumn("side", F.lit("g"))
-        .unionByName(_members(reference, edges, "ref_index", "ref_text").withColumn("side", F.lit("r")))
-    )
-    members = members.select(F.col("pair").alias("bill"), "side", "text", "idx")
-    return edges.groupBy("pair").cogroup(members.groupBy("bill")).applyInPandas(_match_group, MATCH_SCHEMA)
-
-
 def _ranked(members: DataFrame) -> DataFrame:
-    """Members with their rank in their text, greatest index first."""
-    down = members.withColumn("back", -F.col("idx"))
-    return ordered.numbered(down, ["pair", "text"], "back", "rank", sparse=True).select("pair", "text", "rank", "idx")
+    """Members with their rank in their text, greatest index first. Stored."""
+    return cut_lineage(ordered.ranked(members, ["pair", "text"], [F.desc("idx")], "rank").select("pair", "text", "rank", "idx"))
 
 
-def match_in_rounds(edges: DataFrame, generated: DataFrame, reference: DataFrame) -> DataFrame:
-    """The same for pairs of bills of any size, in rounds over whole tables.
+def _side(members: DataFrame, edges: DataFrame, text: str, tag: str) -> DataFrame:
+    """Lines and partners of each text."""
+    lines = members.groupBy("pair", F.col("text").alias(text)).agg(F.count("*").alias(f"{tag}_n"))
+    return lines.join(edges.groupBy("pair", text).agg(F.count("*").alias(f"{tag}_partners")), ["pair", text])
 
-    A text's lines are used from the greatest index down, so all it has to keep
-    is how many are gone. Each round takes every pair of texts that are best for
-    each other and counts off as many lines of both as stay ahead of the next
-    best; one row per round and pair of texts records the stretch.
-    """
-    gen = cut_lineage(_ranked(_members(generated, edges, "gen_index", "gen_text")))
-    ref = cut_lineage(_ranked(_members(reference, edges, "ref_index", "ref_text")))
 
-    def side(members, text, tag):
-        return members.groupBy("pair", F.col("text").alias(text)).agg(
-            F.count("*").alias(f"{tag}_n"), F.lit(0).cast("bigint").alias(f"{tag}_used")
-        )
+def match_one_to_one(pairs: DataFrame, generated: DataFrame, reference: DataFrame) -> DataFrame:
+    """One reference line at most per generated line: pair, gen_index, ref_index, score.
 
-    gen_state, ref_state = side(gen, "gen_text", "g"), side(ref, "ref_text", "r")
-    stretches = None
-    while True:
-        top = lambda members, text, name: members.select(
-            "pair", F.col("text").alias(text), (F.col("rank") - 1).alias(f"{name[0]}_used"), F.col("idx").alias(name)
-        )
-        live = (
-            edges.join(gen_state.where("g_used < g_n"), ["pair", "gen_text"])
-            .join(ref_state.where("r_used < r_n"), ["pair", "ref_text"])
-            .join(top(gen, "gen_text", "g_top"), ["pair", "gen_text", "g_used"])
-            .join(top(ref, "ref_text", "r_top"), ["pair", "ref_text", "r_used"])
-        )
-        live = cut_lineage(live)
-        if live.isEmpty():
-            break
+    Best score first, then greatest indexes, as if the likenesses of all lines were sorted
+    and taken from the top. ``pairs`` holds each pair of texts once.
 
-        def bests(own, other, other_top):
+    A text's lines are used from the greatest index down, so all it has to keep is how
+    many are gone. Texts that are each other's only partner are settled at once. Of the
+    rest, a round takes every pair of texts that are best for each other, in all pairs of bills
+    together, and counts off as many lines of both as stay ahead of the next best; those
+    would be taken before any other line of either text. What a round took is appended to a
+    stored table, one row per pair of texts. Each round takes at least the best likeness
+    left in every pair of bills.
+    """
+    spark = pairs.sparkSession
+    edges = cut_lineage(pairs)
+    gen = _ranked(_members(generated, edges, "gen_index", "gen_text"))
+    ref = _ranked(_members(reference, edges, "ref_index", "ref_text"))
+    stretches = f"{checkpoint_folder(spark)}/matches-{uuid.uuid4().hex}"
+    schema = "pair string, gen_text string, ref_text string, score double, g_used bigint, r_used bigint, k bigint"
+
+    def take(found: DataFrame) -> None:
+        found.select("pair", "gen_text", "ref_text", "score", "g_used", "r_used", "k").write.mode("append").parquet(stretches)
+
+    def topped(state: DataFrame) -> DataFrame:
+        """Likenesses that both texts still have a line for, with the next line of each."""
+        top = lambda members, text, tag: members.select(
+            "pair", F.col("text").alias(text), (F.col("rank") - 1).alias(f"{tag}_used"), F.col("idx").alias(f"{tag}_top")
+        )
+        live = state.where("g_used < g_n and r_used < r_n")
+        return cut_lineage(live.join(top(gen, "gen_text", "g"), ["pair", "gen_text", "g_used"]).join(top(ref, "ref_text", "r"), ["pair", "ref_text", "r_used"]))
+
+    state = edges.join(_side(gen, edges, "gen_text", "g"), ["pair", "gen_text"]).join(_side(ref, edges, "ref_text", "r"), ["pair", "ref_text"])
+    zero = F.lit(0).cast("bigint")
+    state = cut_lineage(state.withColumn("g_used", zero).withColumn("r_used", zero))
+    lone = (F.col("g_partners") == 1) & (F.col("r_partners") == 1)
+    take(state.where(lone).withColumn("k", F.least("g_n", "r_n")))
+    live = topped(state.where(~lone).drop("g_partners", "r_partners"))
+    while not live.isEmpty():
+
+        def bests(own: str, other: str, other_top: str) -> DataFrame:
             value = F.struct(F.col("score"), F.col(other_top).alias("top"), F.col(other).alias("text"))
             best = live.groupBy("pair", own).agg(F.max(value).alias("best"))
             rest = live.join(best, ["pair", own]).where(F.col(other) != F.col("best.text"))
@@ -181,13 +157,12 @@ def match_in_rounds(edges: DataFrame, generated: DataFrame, reference: DataFrame
             rival = F.when(F.col("second.score") == F.col("best.score"), F.col("second.top"))
             return best.join(second, ["pair", own], "left").select("pair", own, F.col("best.text").alias(other), rival.alias(f"{own}_rival"))
 
-        mutual = (
+        mutual = cut_lineage(
             live.join(bests("gen_text", "ref_text", "r_top"), ["pair", "gen_text", "ref_text"])
             .join(bests("ref_text", "gen_text", "g_top"), ["pair", "gen_text", "ref_text"])
         )
-        mutual = cut_lineage(mutual)
 
-        def ahead(members, text, used, rival, name):
+        def ahead(members: DataFrame, text: str, used: str, rival: str, name: str) -> DataFrame:
             counted = (
                 mutual.where(F.col(rival).isNotNull())
                 .join(members.select("pair", F.col("text").alias(text), "rank", "idx"), ["pair", text])
@@ -199,22 +174,17 @@ def match_in_rounds(edges: DataFrame, generated: DataFrame, reference: DataFrame
             mutual.join(ahead(ref, "ref_text", "r_used", "gen_text_rival", "r_run"), ["pair", "ref_text"], "left")
             .join(ahead(gen, "gen_text", "g_used", "ref_text_rival", "g_run"), ["pair", "gen_text"], "left")
             .withColumn("k", F.least(F.col("g_n") - F.col("g_used"), F.col("r_n") - F.col("r_used"), "r_run", "g_run"))
-            .select("pair", "gen_text", "ref_text", "score", "g_used", "r_used", "k")
         )
         taken = cut_lineage(taken)
-        stretches = taken if stretches is None else stretches.unionByName(taken)
-
-        def advance(state, text, used):
-            moved = taken.select("pair", text, "k")
-            return state.join(moved, ["pair", text], "left").withColumn(used, F.col(used) + F.coalesce("k", F.lit(0))).drop("k")
-
-        gen_state = cut_lineage(advance(gen_state, "gen_text", "g_used"))
-        ref_state = cut_lineage(advance(ref_state, "ref_text", "r_used"))
-    if stretches is None:
-        return edges.sparkSession.createDataFrame([], MATCH_SCHEMA)
-    lines = gen.select("pair", F.col("text").alias("gen_text"), F.col("rank"), F.col("idx").alias("gen_index"))
+        take(taken)
+        moved = lambda text, tag: taken.select("pair", text, F.col("k").alias(f"{tag}_k"))
+        state = live.drop("g_top", "r_top").join(moved("gen_text", "g"), ["pair", "gen_text"], "left").join(moved("ref_text", "r"), ["pair", "ref_text"], "left")
+        state = state.withColumn("g_used", F.col("g_used") + F.coalesce("g_k", zero)).withColumn("r_used", F.col("r_used") + F.coalesce("r_k", zero))
+        live = topped(state.drop("g_k", "r_k"))
+    lines = gen.select("pair", F.col("text").alias("gen_text"), "rank", F.col("idx").alias("gen_index"))
     return (
-        stretches.join(lines, ["pair", "gen_text"])
+        spark.read.schema(schema).parquet(stretches)
+        .join(lines, ["pair", "gen_text"])
         .where((F.col("rank") > F.col("g_used")) & (F.col("rank") <= F.col("g_used") + F.col("k")))
         .withColumn("rank", F.col("rank") - F.col("g_used") + F.col("r_used"))
         .join(ref.select("pair", F.col("text").alias("ref_text"), "rank", F.col("idx").alias("ref_index")), ["pair", "ref_text", "rank"])
@@ -222,30 +192,6 @@ def match_in_rounds(edges: DataFrame, generated: DataFrame, reference: DataFrame
     )
 
 
-def match_one_to_one(
-    pairs: DataFrame, generated: DataFrame, reference: DataFrame, group_rows: int = GROUP_ROWS
-) -> DataFrame:
-    """One reference line at most per generated line: pair, gen_index, ref_index, score.
-
-    Best score first, then greatest indexes. Pairs of bills of ordinary size go
-    one to an Arrow group; larger ones are matched in rounds, to the same result.
-    """
-    edges = cut_lineage(pairs)
-    sizes = (
-        edges.groupBy("pair").agg(F.count("*").alias("n"))
-        .unionByName(generated.groupBy("pair").agg(F.count("*").alias("n")))
-        .unionByName(reference.groupBy("pair").agg(F.count("*").alias("n")))
-        .groupBy("pair")
-        .agg(F.sum("n").alias("n"))
-    )
-    large = sizes.where(F.col("n") > group_rows).select("pair")
-    if large.isEmpty():
-        return match_in_groups(edges, generated, reference)
-    few = [df.join(large, "pair", "left_anti") for df in (edges, generated, reference)]
-    many = [df.join(large, "pair", "left_semi") for df in (edges, generated, reference)]
-    return match_in_groups(*few).unionByName(match_in_rounds(*many))
-
-
 def unmatched(generated: DataFrame, reference: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(generated lines, reference lines) no match used."""
     return (
@@ -280,8 +226,19 @@ def with_ratios(counts: DataFrame) -> DataFrame:
     )
 
 
-def evaluate_pairs(generated: DataFrame, reference: DataFrame, matches: DataFrame) -> DataFrame:
-    """Counts, recall, precision, unit accuracy and F1 of each pair of bills."""
+def evaluate_pairs(generated: DataFrame, reference: DataFrame, matches: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """Counts, recall, precision, unit accuracy and F1 of each pair of bills.
+
+    ``errors``: pair, error of pairs that could not be read or lack a side. Such a pair has a
+    row with its first error and no counts, whatever was read of it; others have a null error.
+    """
+    if errors is not None:
+        failed = errors.groupBy("pair").agg(F.min("error").alias("error"))
+        sound = lambda df: df.join(failed, "pair", "left_anti")
+        found = evaluate_pairs(sound(generated), sound(reference), sound(matches))
+        blank = {c: F.lit(0).cast(t) for c, t in found.dtypes if c != "pair"}
+        rows = failed.select("pair", *[v.alias(c) for c, v in blank.items()], "error")
+        return found.withColumn("error", F.lit(None).cast("string")).unionByName(rows)
     made = generated.groupBy("pair").agg(
         F.count("*").alias("generated_items"), F.count_if(F.col("review_status") != "validated").alias("flagged")
     )

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from metreur.session import cut_lineage
+
 CHUNK = 8192
 _C = "__stretch"
 
@@ -124,6 +126,27 @@ def numbered(
     return running(df, keys, pos, sums={name: F.lit(1).cast("bigint")}, chunk=chunk, sparse=sparse)
 
 
+def ranked(df: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
+    """Append ``name``, the place of each row from 1 among those of its keys, in a total order.
+
+    All rows are sorted by ranges, stored, and a row's place is that in its range behind
+    the rows of the same keys in earlier ranges, so that no key is one task. Null keys are
+    a key. Without keys the whole table is numbered.
+    """
+    out = df.columns
+    # Ids grow along the order, by one within a range. Stored, as ranges are drawn from a sample.
+    by_range = cut_lineage(df.orderBy(*keys, *order).select(*out, F.monotonically_increasing_id().alias("__at"), F.spark_partition_id().alias("__range")))
+    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = by_range.groupBy(*keys, "__range").agg(F.min("__at").alias("__first"), F.count("*").alias("__many"))
+    counts = counts.select(
+        *[F.col(k).alias(f"__k{n}") for n, k in enumerate(keys)], F.col("__range").alias("__of"), "__first", F.coalesce(F.sum("__many").over(earlier), F.lit(0)).alias("__before")
+    )
+    same = F.col("__range") == F.col("__of")
+    for n, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{n}"))
+    return by_range.join(counts, same).select(*out, (F.col("__before") + F.col("__at") - F.col("__first") + 1).alias(name))
+
+
 def counters(df: DataFrame, keys: list[str], pos: str, level: str, name: str, depth: int = 8, chunk: int = CHUNK) -> DataFrame:
     """Append ``name``, the multilevel counters after each row.
 

@@ -106,34 +106,28 @@ def overlay_edits(lines: DataFrame, previous: DataFrame) -> DataFrame:
 def _first_greater(lines: DataFrame, new: DataFrame) -> DataFrame:
     """Position of the first line of a greater code than each new line's: source_id, line_id, before.
 
-    Codes are read from the greatest down, lines of one code already one row,
-    keeping the smallest position seen: one pass per chapter plus what the later
-    chapters hold. No new line is compared with every line.
+    Codes of a source are sorted from the greatest down, by ranges over the whole
+    table; a new line's place is the least position seen so far in its range or in the
+    ranges before. Neither a source nor a chapter is one task, and no new line is
+    compared with every line. A null source is a source.
     """
     coded = lambda df: df.where(trim_blanks(F.coalesce("code", F.lit(""))) != "").withColumn(
         "key", natural_code_key("code")
     )
-    known = coded(lines).groupBy("source_id", "key").agg(F.min("pos").alias("at"))
-    asked = coded(new).select("source_id", "key", "line_id")
-    both = known.withColumn("line_id", F.lit(None).cast("string")).unionByName(
-        asked.withColumn("at", F.lit(None).cast("bigint")), allowMissingColumns=True
-    )
-    both = both.withColumn("head", F.get("key", F.lit(0)))
+    known = coded(lines).groupBy("source_id", "key").agg(F.min(F.col("pos").cast("bigint")).alias("at"))
+    asked = coded(new).select("source_id", "key", "line_id", F.lit(None).cast("bigint").alias("at"))
+    both = known.withColumn("line_id", F.lit(None).cast("string")).unionByName(asked)
     # at equal codes the new line comes first, so that only greater codes count
-    down = Window.partitionBy("source_id", "head").orderBy(F.desc("key"), F.col("at").isNotNull())
-    later = Window.partitionBy("source_id").orderBy(F.desc("head")).rowsBetween(Window.unboundedPreceding, -1)
-    chapters = (
-        known.groupBy("source_id", F.get("key", F.lit(0)).alias("head"))
-        .agg(F.min("at").alias("at"))
-        .unionByName(asked.select("source_id", F.get("key", F.lit(0)).alias("head"), F.lit(None).cast("bigint").alias("at")))
-        .groupBy("source_id", "head")
-        .agg(F.min("at").alias("at"))
-        .select("source_id", "head", F.min("at").over(later).alias("beyond"))
-    )
+    down = both.orderBy("source_id", F.desc("key"), F.col("at").isNotNull(), "line_id")
+    down = cut_lineage(down.select("source_id", "line_id", "at", F.monotonically_increasing_id().alias("seen"), F.spark_partition_id().alias("range")))
+    earlier = Window.partitionBy("source_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = down.groupBy("source_id", "range").agg(F.min("at").alias("least"))
+    before = before.select(F.col("source_id").alias("source"), F.col("range").alias("of"), F.min("least").over(earlier).alias("beyond"))
+    inside = Window.partitionBy("source_id", "range").orderBy("seen").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        both.withColumn("inside", F.min("at").over(down.rowsBetween(Window.unboundedPreceding, 0)))
+        down.withColumn("inside", F.min("at").over(inside))
         .where("line_id is not null")
-        .join(chapters, ["source_id", "head"], "left")
+        .join(before, F.col("source_id").eqNullSafe(F.col("source")) & (F.col("range") == F.col("of")))
         .select("source_id", "line_id", F.least("inside", "beyond").alias("before"))
     )
 
@@ -145,10 +139,11 @@ def insert_by_code(lines: DataFrame, new: DataFrame) -> DataFrame:
     they are. All lines are sorted by ranges; a line's number is its place in its range
     and the lines of the same source in the ranges before, so no place is one task.
     """
-    ends = lines.groupBy("source_id").agg((F.max("pos") + 1).alias("end"))
+    ends = lines.groupBy(F.col("source_id").alias("__source")).agg((F.max("pos") + 1).alias("end"))
+    places = _first_greater(lines, new).select(F.col("source_id").alias("__of"), F.col("line_id").alias("__line"), "before")
     put = (
-        new.join(_first_greater(lines, new), ["source_id", "line_id"], "left")
-        .join(ends, "source_id", "left")
+        new.join(places, F.col("source_id").eqNullSafe(F.col("__of")) & F.col("line_id").eqNullSafe(F.col("__line")), "left")
+        .join(ends, F.col("source_id").eqNullSafe(F.col("__source")), "left")
         .withColumn("__slot", F.coalesce("before", "end", F.lit(1)).cast("bigint"))
     )
     both = (
@@ -157,15 +152,9 @@ def insert_by_code(lines: DataFrame, new: DataFrame) -> DataFrame:
     )
     fresh = lambda c: F.when(~F.col("__known"), c)
     uncoded = trim_blanks(F.coalesce("code", F.lit(""))) == ""
-    ranged = both.orderBy("source_id", "__slot", "__known", fresh(uncoded), fresh(natural_code_key("code")), "pos", "line_id")
-    # Ids grow along the order, by one within a range. Stored, as ranges are drawn from a sample.
-    ranged = cut_lineage(ranged.select(*lines.columns, F.monotonically_increasing_id().alias("__at"), F.spark_partition_id().alias("__range")))
-    earlier = Window.partitionBy("source_id").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranged.groupBy("source_id", "__range").agg(F.min("__at").alias("__first"), F.count("*").alias("__many"))
-    counts = counts.select(F.col("source_id").alias("__source"), F.col("__range").alias("__of"), "__first", F.coalesce(F.sum("__many").over(earlier), F.lit(0)).alias("__before"))
-    numbered = ranged.join(counts, F.col("source_id").eqNullSafe(F.col("__source")) & (F.col("__range") == F.col("__of")))
-    number = F.col("__before") + F.col("__at") - F.col("__first") + 1
-    return numbered.select(*[number.alias(c) if c == "pos" else F.col(c) for c in lines.columns])
+    order = ["__slot", "__known", fresh(uncoded), fresh(natural_code_key("code")), "pos", "line_id"]
+    numbered = ordered.ranked(both, ["source_id"], order, "__number")
+    return numbered.select(*[F.col("__number").alias(c) if c == "pos" else F.col(c) for c in lines.columns])
 
 
 def visible_dossiers(dossiers: DataFrame, shares: DataFrame, owner: str, email: str, search: str = "") -> DataFrame:

@@ -34,11 +34,27 @@ def generated_items(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def evaluate_corpus(generated: DataFrame, reference: DataFrame) -> Evaluation:
-    """Every figure and report from one matching. ``reference`` may hold sections; items count."""
+def pair_errors(pairs: DataFrame, failures: DataFrame) -> DataFrame:
+    """pair, error: pairs without one of their sides, and those whose files could not be read.
+
+    ``pairs``: pair, has_source, has_bill. ``failures``: pair, error, of both readers.
+    """
+    missing = pairs.where(~(F.coalesce("has_source", F.lit(False)) & F.coalesce("has_bill", F.lit(False))))
+    return missing.select("pair", F.lit("couple CCTP/DPGF incomplet").alias("error")).unionByName(failures.select("pair", F.coalesce("error", F.lit("")).alias("error")))
+
+
+def evaluate_corpus(generated: DataFrame, reference: DataFrame, errors: DataFrame | None = None) -> Evaluation:
+    """Every figure and report from one matching. ``reference`` may hold sections; items count.
+
+    Pairs of ``errors`` (see :func:`pair_errors`) keep a row of their own and are in no other
+    figure or report.
+    """
+    if errors is not None:
+        errors = cut_lineage(errors)
+        generated, reference = (df.join(errors, "pair", "left_anti") for df in (generated, reference))
     wanted = reference.where(F.col("kind") == "item") if "kind" in reference.columns else reference
     matches = cut_lineage(ops.match_one_to_one(ops.similar_line_pairs(generated, wanted), generated, wanted))
-    by_pair = ops.evaluate_pairs(generated, wanted, matches)
+    by_pair = ops.evaluate_pairs(generated, wanted, matches, errors)
     errors = ops.checked_matches(generated, wanted, matches).where(~F.col("unit_ok"))
     left_gen, left_ref = ops.unmatched(generated, wanted, matches)
     return Evaluation(

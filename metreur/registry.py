@@ -10,12 +10,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metreur.functions import codes, similarity, text, units
 from metreur.operators import enrich, evaluate, headings, lines, listing, ordered, overlay, perimeter, rollup, stats
-from metreur.plans import evaluation
+from metreur.plans import evaluation, reprocess
 from metreur.plans.extract import extract_lines, retry_perimeter
 from metreur.session import checkpoint_folder, cut_lineage, ship_package
 from metreur.sources import bills, contract, layout, manifest
@@ -672,6 +672,23 @@ def e5_merge_refinements(v):
     )
 
 
+@query
+def d17_reprocess(v):
+    """Every sixth document rewritten since it was stored: what is extracted again, what of the others stays."""
+    documents, before = v.spec_documents, cut_lineage(v.spec_blocks)
+    stored = reprocess.content_facts(documents, before).select("source_id", "content_hash")
+    number = F.regexp_extract("source_id", r"(\d+)$", 1).cast("bigint")
+    now = cut_lineage(before.withColumn("text", F.when((number % 6 == 0) & (F.col("pos") == 1), F.concat("text", F.lit(" Modifié"))).otherwise(F.col("text"))))
+    held = cut_lineage(_bill_of_headings(v).withColumn("user_edited", F.col("pos") % 5 == 0).withColumn("designation", F.when(F.col("pos") % 5 == 0, F.upper("designation")).otherwise(F.col("designation"))))
+    done = reprocess.reprocess(documents, now, stored, held)
+    edited = done.lines.groupBy("source_id").agg(F.count("*").alias("n"), F.count_if("user_edited").alias("edited"))
+    kept = lambda c: F.when(~F.col("changed"), F.coalesce(c, F.lit(0)))
+    return done.facts.join(edited, "source_id", "left").select(
+        "source_id", "changed", "character_count", "page_count", kept("n").alias("kept_lines"), kept("edited").alias("kept_edits"),
+        F.when(~F.col("changed"), F.col("status")).alias("kept_status"),
+    )
+
+
 # ---------------------------------------------------------------------- joins
 
 
@@ -718,6 +735,15 @@ def j5_match_one_to_one(v):
     return _matches(v)
 
 
+@query
+def j5_match_by_vocabulary(v):
+    """The same matching over likenesses that need no Python: shared vocabulary, told apart by the lengths of the texts."""
+    near = evaluate.shared_vocabulary(v.gen_lines, v.ref_lines, 0.4)
+    apart = (F.length("gen_text") * 7 + F.length("ref_text") * 13) % 101
+    pairs = near.select("pair", "gen_text", "ref_text", (F.col("overlap") + apart.cast("double") / 1000).alias("score"))
+    return evaluate.match_one_to_one(pairs, v.gen_lines, v.ref_lines)
+
+
 def _key_matches(v) -> DataFrame:
     """Matches that need no likeness: parts of one brand, size apart and price in step."""
     left = v.gen_lines.groupBy("pair", "designation").agg(F.max("gen_index").alias("gen_index"))
@@ -785,6 +811,12 @@ def a4_bill_rollup(v):
     return rows.select("source_id", "row_kind", "code", F.round("amount", 2).cast("double").alias("amount"))
 
 
+@query
+def a4_bill_rows(v):
+    rows = rollup.bill_rows(cut_lineage(v.priced_lines), v.spec_documents)
+    return rows.select(*[F.round(c, 2).cast("double").alias(c) if c == "amount" else F.col(c) for c in rows.columns])
+
+
 @query
 def a5_evaluate_pairs(v):
     return evaluate.evaluate_pairs(v.gen_lines, v.ref_lines, _key_matches(v))
@@ -828,12 +860,10 @@ def a9_lot_counters(v):
 def o1_order_lots(v):
     lots = v.spec_documents.select("source_id", "lot_code", "lot_title")
     keyed = listing.lot_order(lots)
-    # the sorted rows themselves tell each lot's place: that of the first with its keys
+    # lots of equal keys share the place of the first of them
     keys = ["code_key", "family_rank", "title_key"]
-    stood = listing.lot_order(listing.order_lots(lots).withColumn("at", F.monotonically_increasing_id()))
-    stood = stood.groupBy(*keys).agg(F.min("at").alias("at"), F.count("*").alias("many"))
-    before = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    places = stood.withColumn("place", (F.coalesce(F.sum("many").over(before), F.lit(0)) + 1).cast("int")).drop("at", "many")
+    stood = ordered.ranked(keyed, [], [*keys, "source_id"], "at")
+    places = stood.groupBy(*keys).agg(F.min("at").cast("int").alias("place"))
     return keyed.join(places, keys).select(
         "source_id", F.get("code_key", F.lit(0))["number"].cast("int").alias("code_number"), "family_rank", "title_key", "place"
     )
@@ -868,10 +898,19 @@ def k1_export_contract(v):
 
 @query
 def k2_export_rows(v):
-    """Rows of each output file: what goes to which, before writing."""
-    named = contract.output_names(_named_lots(v))
-    rows = _bill_of_headings(v).join(named.select("source_id", "lot_file"), "source_id")
-    return rows.groupBy("lot_file").agg(F.count("*").alias("n_rows"), F.max("pos").alias("last_pos"))
+    """What is read back from the output of each lot, after writing it twice."""
+    named = contract.output_names(_named_lots(v)).select("source_id", "lot_file")
+    rows = rollup.bill_rows(cut_lineage(v.priced_lines), v.spec_documents).join(named, "source_id").drop("source_id")
+    rows = cut_lineage(rows)
+    path = f"{checkpoint_folder(rows.sparkSession)}/lots-{uuid.uuid4().hex}"
+    for _ in range(2):
+        listed = contract.export_lots(rows, path)
+    stored = contract.read_lots(rows.sparkSession, path, rows.schema)
+    held = stored.groupBy("lot_file").agg(
+        F.count("*").alias("n_rows"), F.max("row_no").alias("last_row"), F.count_if(F.col("row_kind") == "subtotal").alias("n_subtotals"),
+        F.round(F.max(F.when(F.col("row_kind") == "total_ttc", F.col("amount"))), 2).cast("double").alias("total_ttc"),
+    )
+    return held.join(listed.groupBy("lot_file").agg(F.sum("rows").alias("listed_rows")), "lot_file")
 
 
 @query

@@ -100,6 +100,15 @@ VIEWS = {
                CASE l_returnflag WHEN 'R' THEN 'DESCRIPTION DES OUVRAGES' ELSE 'Chapitre ' || l_returnflag END,
                CAST(NULL AS DECIMAL(10, 2)), CAST(NULL AS DECIMAL(12, 2)), true
         FROM {lineitem}""",
+    # sentences as priced lines whose levels jump and whose sections nest
+    "priced_lines": """
+        SELECT source_id, CAST(pos AS BIGINT) AS pos, CASE WHEN n % 3 = 0 THEN 'section' ELSE 'item' END AS kind, CAST(1 + (n * 3 + pos) % 5 AS INT) AS level,
+               CASE n % 4 WHEN 0 THEN '4.' || CAST(n % 9 AS STRING) WHEN 1 THEN '4.1.' || CAST(n % 7 AS STRING) WHEN 2 THEN '' ELSE '5' END AS code,
+               CASE WHEN n % 10 = 0 THEN 'Descriptif des ouvrages' ELSE 'Poste ' || CAST(pos AS STRING) END AS designation,
+               CASE WHEN n % 2 = 0 THEN 'm²' ELSE '' END AS unit,
+               CASE WHEN n % 6 <> 1 THEN CAST(n % 50 AS DECIMAL(10, 2)) / 4 END AS quantity,
+               CASE WHEN n % 11 <> 2 THEN CAST(n AS DECIMAL(12, 2)) / 8 END AS unit_price, n % 7 <> 0 AS included
+        FROM {sentences}""",
     # parts as typed lines of projects
     "typed_lines": """
         SELECT 'ln_' || CAST(p_partkey AS STRING) AS line_id, p_brand AS source_id, p_brand AS project, p_partkey AS pos,
@@ -175,6 +184,9 @@ _CUT_SQL = {
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table or a view over the given tables."""
+    if name == "documents":
+        # One row group is one task however long its texts are; a shuffle of the scanned columns deals them out.
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if name in _CUT_SQL:
@@ -217,6 +229,8 @@ def with_views(sql: str, *names: str) -> str:
     if not ctes:
         return sql
     stripped = sql.strip()
+    if stripped.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {stripped[15:]}"
     if stripped.upper().startswith("WITH "):
         return f"WITH {ctes}, {stripped[5:]}"
     return f"WITH {ctes} {stripped}"

@@ -6,7 +6,7 @@ import pytest
 
 from metreur import catalogue
 from metreur.operators import evaluate
-from metreur.plans.evaluation import evaluate_corpus
+from metreur.plans.evaluation import evaluate_corpus, pair_errors
 
 THINGS = ["clôture", "bordure", "regard", "tranchée", "câble", "peinture", "portail"]
 DETAILS = ["existante", "béton", "acier", "de visite", "en pied", "type T1", "type CS1"]
@@ -75,14 +75,42 @@ def test_no_likely_pair_is_lost(bills):
     assert got == want and len(want) > 50
 
 
-def test_groups_and_rounds_equal_the_greedy_walk(bills):
+def test_matching_equals_the_greedy_walk(bills):
     sides, gen, ref = bills
-    edges = evaluate.similar_line_pairs(gen, ref)
     want = greedy(sides)
     assert len(want) > 30
-    assert shown(evaluate.match_one_to_one(edges, gen, ref)) == want
-    # as if every pair of bills were too large for one group
-    assert shown(evaluate.match_one_to_one(edges, gen, ref, group_rows=0)) == want
+    assert shown(evaluate.match_one_to_one(evaluate.similar_line_pairs(gen, ref), gen, ref)) == want
+
+
+def sorted_walk(edges, gen, ref):
+    """All likenesses of lines, sorted, taken from the top."""
+    lines = sorted(((s, g, r, p) for p, a, b, s in edges for q, g, t in gen if (q, t) == (p, a) for o, r, u in ref if (o, u) == (p, b)), reverse=True)
+    used, out = set(), []
+    for s, g, r, p in lines:
+        if (p, "g", g) not in used and (p, "r", r) not in used:
+            used |= {(p, "g", g), (p, "r", r)}
+            out.append((p, g, r, s))
+    return sorted(out)
+
+
+def test_chain_of_falling_scores_copies_and_ties(spark):
+    chain = [("c", f"g{k // 2 + k % 2}", f"r{k // 2}", 1 - k / 100) for k in range(13)]
+    gen = [("c", k, f"g{k}") for k in range(8)]
+    ref = [("c", k, f"r{k}") for k in range(7)]
+    # copies whose indexes interleave, all of one score, and lone partners with more lines on one side
+    tied = [("t", a, b, 0.9) for a in ("x", "y", "z") for b in ("p", "q") if (a, b) != ("z", "q")] + [("t", "lone", "only", 0.5)]
+    gen += [("t", k, "xyz"[k % 3]) for k in range(12)] + [("t", 100 + k, "lone") for k in range(5)]
+    ref += [("t", k, "ppq"[k % 3]) for k in range(10)] + [("t", 200 + k, "only") for k in range(3)]
+    edges = chain + tied
+    table = lambda rows, name: spark.createDataFrame([(p, n, t, "U", None, "validated") for p, n, t in rows], f"pair string, {name} long, designation string, unit string, unit_source string, review_status string")
+    got = evaluate.match_one_to_one(spark.createDataFrame(edges, "pair string, gen_text string, ref_text string, score double"), table(gen, "gen_index"), table(ref, "ref_index"))
+    assert shown(got) == [(p, g, r, round(s, 9)) for p, g, r, s in sorted_walk(edges, gen, ref)]
+
+
+def test_no_likeness_gives_no_match(bills):
+    _, gen, ref = bills
+    none = gen.sparkSession.createDataFrame([], "pair string, gen_text string, ref_text string, score double")
+    assert evaluate.match_one_to_one(none, gen, ref).collect() == []
 
 
 def test_figures(bills):
@@ -104,3 +132,17 @@ def test_a_threshold_that_cannot_be_blocked_is_refused(bills):
     _, gen, ref = bills
     with pytest.raises(ValueError):
         evaluate.similar_line_pairs(gen, ref, 0.5)
+
+
+def test_pairs_with_errors_have_a_row_and_no_figures(bills):
+    sides, gen, ref = bills
+    spark = gen.sparkSession
+    pairs = spark.createDataFrame([("p1", True, True), ("p2", True, True), ("p3", True, True), ("lone", True, None)], "pair string, has_source boolean, has_bill boolean")
+    failures = spark.createDataFrame([("p2", "BadZipFile: no workbook"), ("p2", "another")], "pair string, error string")
+    found = evaluate_corpus(gen, ref, pair_errors(pairs, failures))
+    rows = {r["pair"]: r for r in found.by_pair.collect()}
+    assert {p: r["error"] for p, r in rows.items()} == {"p1": None, "p2": "BadZipFile: no workbook", "p3": None, "lone": "couple CCTP/DPGF incomplet"}
+    assert rows["p2"]["generated_items"] == rows["p2"]["matched"] == 0
+    want = [m for m in greedy(sides) if m[0] != "p2"]
+    assert found.total.first()["matched"] == len(want)
+    assert {r["pair"] for r in found.unmatched_reference.collect()} <= {"p1", "p3"}

@@ -1,4 +1,5 @@
 import io
+import os
 import zipfile
 
 from pyspark.sql import Row
@@ -167,6 +168,66 @@ def test_new_files_are_processed_once(spark, tmp_path):
     assert spark.read.parquet(str(output / "lots")).count() == 2
 
 
+def test_refused_files_are_not_opened(spark, tmp_path):
+    folder = tmp_path / "d1"
+    folder.mkdir()
+    (folder / "a.docx").write_bytes(b"x")
+    (folder / "B.PDF").write_bytes(b"y")
+    (folder / "note.txt").write_bytes(b"z" * 500)
+    (folder / "large.docx").write_bytes(b"w" * 400)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 100)  # the reader fails on whatever larger file it opens
+    try:
+        accepted, refused = manifest.read_manifest(spark, str(tmp_path), max_bytes=50)
+        assert sorted(r["original_name"] for r in accepted.collect()) == ["B.PDF", "a.docx"]
+        assert sorted((r["original_name"], r["reject_reason"]) for r in refused.collect()) == [("large.docx", "size"), ("note.txt", "format")]
+        (folder / "large.docx").unlink()
+        accepted, refused = manifest.read_manifest(spark, str(tmp_path), max_bytes=None)
+        assert accepted.count() == 2 and refused.count() == 1
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_batches_hold_the_same_however_files_are_dealt(spark, tmp_path):
+    source = tmp_path / "in"
+    for n in range(6):
+        folder = source / f"d{n % 2}"
+        folder.mkdir(parents=True, exist_ok=True)
+        file = folder / (f"LOT 0{n} SERRURERIE.docx" if n != 3 else "printed.pdf")
+        file.write_bytes(SPEC if n != 3 else b"%PDF")
+        os.utime(file, (1_700_000_000 + n, 1_700_000_000 + n))
+    spans = [
+        span(1, 1, "3.", 14.0, 70), span(1, 2, "DESCRIPTION DES OUVRAGES", 14.0, 70, 105.0), span(1, 3, "3.1", 12.0, 115), span(1, 4, "ESCALIER EXTERIEUR", 12.0, 115, 105.0),
+        span(2, 1, "texte " * 60, 10.0, 145),
+    ]
+    path = f"file:{source}/d1/printed.pdf"
+    spark.createDataFrame([(path, *s[1:]) for s in spans], SPANS.replace("source_id", "path")).write.parquet(str(tmp_path / "spans"))
+
+    def run(name, many):
+        out = tmp_path / name
+        for _ in range(2):  # the second start finds nothing new
+            ingest_new(spark, str(source), str(out), str(tmp_path / f"{name}-state"), many, str(tmp_path / "spans"), max_documents=2).awaitTermination()
+        return {t: sorted(str(r.asDict()) for r in spark.read.parquet(str(out / t)).drop("batch").collect()) for t in ("documents", "lots", "lines", "warnings")}
+
+    one, six = run("one", 100), run("six", 1)
+    assert one == six
+    status = {r["original_name"]: r["status"] for r in spark.read.parquet(str(tmp_path / "six" / "documents")).collect()}
+    assert sorted(status.values()) == ["ready"] * 4 + ["refused"] * 2 and status["printed.pdf"] == "ready"
+    printed = spark.read.parquet(str(tmp_path / "six" / "documents")).where("original_name = 'printed.pdf'").first()
+    assert printed["page_count"] == 2 and printed["character_count"] > 350
+
+
+def test_one_output_per_lot_is_replaced_as_a_whole(spark, tmp_path):
+    rows = spark.createDataFrame([(f"lot {n % 3}.xlsx", n, f"row {n}") for n in range(1, 3001)], "lot_file string, row_no long, designation string")
+    listed = contract.export_lots(rows, str(tmp_path / "o"))
+    assert {r["lot_file"]: r["n"] for r in listed.groupBy("lot_file").agg({"rows": "sum"}).withColumnRenamed("sum(rows)", "n").collect()} == {f"lot {k}.xlsx": 1000 for k in range(3)}
+    back = contract.read_lots(spark, str(tmp_path / "o"), rows.schema)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+    contract.export_lots(rows.where("row_no <= 30"), str(tmp_path / "o"))
+    assert contract.read_lots(spark, str(tmp_path / "o"), rows.schema).count() == 30
+    contract.export_lots(rows.where("false"), str(tmp_path / "o"))
+    assert contract.read_lots(spark, str(tmp_path / "o"), rows.schema).count() == 0
+
+
 def test_contract_reads_in_order(spark, tmp_path):
     dossiers = spark.createDataFrame([("d1", "P", "R", "C", "DCE", "", "2024")], "dossier_id string, project_name string, project_reference string, client_name string, phase string, due_date string, updated_at string")
     lots = spark.createDataFrame([("d1", "s1", "01", "VRD"), ("d2", "s2", "02", "Toiture")], "dossier_id string, source_id string, lot_code string, lot_title string")
