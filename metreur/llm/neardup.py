@@ -50,6 +50,8 @@ WIDE_SHARED = 150
 BROADCAST_ROWS = 2_000_000
 #: Documents, or pairs of them with their sets, in one Arrow batch.
 BATCH = 200
+#: Partners of a member that are compared in the first round of the last step, and how much more in each after it.
+FIRST_PARTNERS, MORE_PARTNERS = 4, 8
 #: Edges that one task takes while components are found.
 EDGES_A_TASK = 50_000
 #: Sizes of one bucket differ by less than this factor.
@@ -359,10 +361,32 @@ class _Linker:
             self.compare(self.stars(left, F.col("outside")))
             left = self.open(left)
         if not left.isEmpty():
-            self.compare(self.rest(left), estimated=True)
+            self.rounds(self.rest(left))
         self.shelf.clear()
         return self.parts
 
+    def rounds(self, pairs: DataFrame) -> None:
+        """Compare all pairs whose ends are not linked meanwhile, those with the most in common first.
+
+        Members of one group mostly hang together by their closest pairs; once these are
+        linked, the rest of their pairs, which grow with the square of the group, need no
+        comparison. What is still apart is compared to the last pair.
+        """
+        left = self.shelf.store(pairs.groupBy("a", "b").agg(F.count("*").alias("many")), "pairs-0")
+        partners, k = FIRST_PARTNERS, 0
+        while True:
+            part = lambda end: self.parts.select(F.col("node").alias(end), F.col("comp").alias(f"comp_{end}"))
+            far = left.join(part("a"), "a", "left").join(part("b"), "b", "left").where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b"))
+            rank = lambda end: F.row_number().over(Window.partitionBy(end).orderBy(F.desc("many"), "a", "b"))
+            k += 1
+            left = self.shelf.store(far.select("a", "b", "many", rank("a").alias("at_a"), rank("b").alias("at_b")), f"pairs-{k}")
+            now = (F.col("at_a") <= partners) | (F.col("at_b") <= partners)
+            if left.isEmpty():
+                return
+            self.compare(left.where(now), estimated=True)
+            self.shelf.clear(f"pairs-{k - 1}")
+            left, partners = left.where(~now).drop("at_a", "at_b"), partners * MORE_PARTNERS
+
 
 def grouped(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
