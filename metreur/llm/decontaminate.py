@@ -11,8 +11,8 @@ Words that no benchmark item holds end a match, so positions next to them need
 no suffix: they are left out before sorting, which loses nothing.
 
 The benchmark travels to the tasks as a broadcast of at most ``block_bytes`` of
-text; a larger one is taken in several blocks, one pass each, and the passes are
-merged per document. Documents are never shuffled in a single pass.
+text; a larger one is taken in several blocks, one after the other within one pass
+over the documents. Documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -205,7 +205,24 @@ def _columns(found: list[tuple]) -> list[pa.Array]:
     ]
 
 
-def _searcher(shared, shard_words: int):
+_NAMES = ["n_words", "hits", "items", "longest", "longest_item", "longest_at"]
+
+
+def _together(old: dict, new: tuple) -> tuple:
+    """Findings of earlier blocks of the benchmark and of one more, for one text."""
+    spans: list[tuple[int, int]] = []
+    for lo, hi in sorted([(r["lo"], r["hi"]) for r in old["hits"]] + new[1]):
+        if spans and lo <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(hi, spans[-1][1]))
+        else:
+            spans.append((lo, hi))
+    best = min((tuple(old[n] for n in _NAMES[3:]), new[3:]), key=lambda p: (-p[0], p[1] or 0, p[2] or 0))
+    return (new[0], spans, sorted({*old["items"], *new[2]}), *best)
+
+
+def _searcher(shared, shard_words: int, last: bool = True):
+    """Findings of one block for rows (row, text) or, behind another block, (row, text, findings); but for the ``last`` block with the text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
         held: list[pa.RecordBatch] = []
@@ -216,8 +233,12 @@ def _searcher(shared, shard_words: int):
             found = search(words, block)
             begin = 0
             for part in held:
-                yield pa.RecordBatch.from_arrays([part.column(0), *_columns(found[begin : begin + len(part)])], names=[part.schema.names[0], "n_words", "hits", "items", "longest", "longest_item", "longest_at"])
+                own = found[begin : begin + len(part)]
                 begin += len(part)
+                if part.num_columns > 2:
+                    own = [_together(old, new) for old, new in zip(part.select(_NAMES).to_pylist(), own, strict=True)]
+                passed = 1 if last else 2
+                yield pa.RecordBatch.from_arrays([*part.columns[:passed], *_columns(own)], names=[*part.schema.names[:passed], *_NAMES])
 
         for batch in batches:
             begin = 0
@@ -238,23 +259,6 @@ def _searcher(shared, shard_words: int):
     return run
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Several blocks' findings for one document text, made one."""
-    for batch in batches:
-        found = []
-        for row in batch.select(["parts"]).to_pylist():
-            parts = row["parts"]
-            spans: list[tuple[int, int]] = []
-            for lo, hi in sorted((r["lo"], r["hi"]) for p in parts for r in p["hits"]):
-                if spans and lo <= spans[-1][1]:
-                    spans[-1] = (spans[-1][0], max(hi, spans[-1][1]))
-                else:
-                    spans.append((lo, hi))
-            best = min(parts, key=lambda p: (-p["longest"], p["longest_item"] or 0, p["longest_at"] or 0))
-            found.append((parts[0]["n_words"], spans, sorted({i for p in parts for i in p["items"]}), best["longest"], best["longest_item"], best["longest_at"]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *_columns(found)], names=[ROW, "n_words", "hits", "items", "longest", "longest_item", "longest_at"])
-
-
 def matches(
     docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text",
     keep: list[str] | None = None, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES,
@@ -266,31 +270,21 @@ def matches(
     ``longest`` (words of the longest verbatim match of a whole window or more, 0
     if none), ``longest_item``, ``longest_at`` (its first word). Null and empty
     texts have no words. Items without an id or without words are none; an id
-    that comes twice counts once. Repeated documents each get their row. With
-    several blocks the kept columns must be groupable (no maps).
+    that comes twice counts once. Repeated documents each get their row. A benchmark
+    of several blocks is searched block after block in one pass over the documents:
+    each hands its findings on beside the text, and nothing is shuffled.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("bigint").alias("item"), F.col(item_text).alias("words")).where("item is not null")
     blocks = 1 + int(items.agg(F.sum(F.octet_length("words"))).first()[0] or 0) // block_bytes
-    rows = packed(docs, keep, words=F.col(text))
-    if blocks > 1:  # with the text's digest, as one id may have several texts
-        rows = rows.withColumn(ROW, F.struct(F.col(ROW).alias("own"), F.sha2("words", 256).alias("digest")))
-    kind = rows.schema[ROW].dataType.simpleString()
-    parts = []
+    rows = packed(docs, keep, words=F.col(text).cast("string"))
+    kind = f"`{ROW}` {rows.schema[ROW].dataType.simpleString()}"
     for b in range(blocks):
         mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == b)
         block = Block([tuple(r) for r in mine.collect()], window)  # a block of block_bytes
-        parts.append(rows.mapInArrow(_searcher(spark.sparkContext.broadcast(block), shard_words), f"`{ROW}` {kind}, {_FOUND}"))
-    if blocks == 1:
-        return parts[0]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    # A row that comes n times has n findings of each block, all alike.
-    names = [c for c in found.columns if c != ROW]
-    together = found.groupBy(ROW).agg(F.collect_list(F.struct(*names)).alias("parts"), (F.count("*") / blocks).cast("int").alias("times"))
-    again = together.select(ROW, "parts", F.explode(F.sequence(F.lit(1), "times"))).select(ROW, "parts")
-    return again.mapInArrow(_merged, f"`{ROW}` {kind}, {_FOUND}").withColumn(ROW, F.col(f"{ROW}.own"))
+        last = b == blocks - 1
+        rows = rows.mapInArrow(_searcher(spark.sparkContext.broadcast(block), shard_words, last), f"{kind}, {_FOUND}" if last else f"{kind}, words string, {_FOUND}")
+    return rows
 
 
 def report(docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", **options) -> DataFrame:
