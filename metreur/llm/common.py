@@ -24,7 +24,8 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Arrow batches of at most so many rows from now on, as rows carry whole texts."""
+    """Arrow batches of at most so many rows from now on, as rows carry whole texts; the workers know this package."""
+    ship_package(spark)
     if int(spark.conf.get(_BATCH)) > rows:
         spark.conf.set(_BATCH, str(rows))
 
@@ -47,6 +48,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes that a task holds back while it writes a step.
+SHELF_BLOCK = 16 << 20
+
+
 class Shelf:
     """Steps of one operator stored as Parquet below the checkpoint folder, taken away when they are done with."""
 
@@ -55,7 +60,7 @@ class Shelf:
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", str(SHELF_BLOCK)).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def clear(self, name: str | None = None) -> None:

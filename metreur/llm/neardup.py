@@ -246,7 +246,8 @@ class _Linker:
         """Whole sets of all classes in the lists, each by the id and text of one row."""
         ids = cut_lineage(entries.select("rep").distinct().join(classes.select("rep", "doc", "mark"), "rep"))
         ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-        self.sets = self.shelf.store(self.docs.join(ids, ["doc", "mark"]).select("rep", "text").mapInArrow(_sets, "rep bigint, whole binary"), "sets")
+        # Checkpointed, not kept as Parquet: a writer of row groups would hold whole sets by the hundred megabytes.
+        self.sets = cut_lineage(self.docs.join(ids, ["doc", "mark"]).select("rep", "text").mapInArrow(_sets, "rep bigint, whole binary"))
 
     def compare(self, pairs: DataFrame, estimated: bool = False) -> None:
         """Count pairs (a, b); those that agree become edges."""
