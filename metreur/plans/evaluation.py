@@ -39,6 +39,7 @@ def pair_errors(pairs: DataFrame, failures: DataFrame) -> DataFrame:
 
     ``pairs``: pair, has_source, has_bill. ``failures``: pair, error, of both readers.
     """
+    # fixed value: the message of a pair that lacks a side
     missing = pairs.where(~(F.coalesce("has_source", F.lit(False)) & F.coalesce("has_bill", F.lit(False))))
     return missing.select("pair", F.lit("couple CCTP/DPGF incomplet").alias("error")).unionByName(failures.select("pair", F.coalesce("error", F.lit("")).alias("error")))
 
