@@ -37,7 +37,7 @@ TEXTS = [
     "1.2.3.x 2.3.4.5", "4539578763621486", "4539 5787-6362 1486 ", "45395787636214861", "4539578763621486 1", "+1 (843) 555-4223", "+1", "+1 ", "+12345678901234567890",
     "+1 2 3 4 5 6 7 8 ...", "tel +33 1 23 45 67 89.", "x" * 20000 + "@" + "y" * 10, "a." * 5000 + "@" + "b." * 5000 + "c", "7" * 30000, "1.1.1.1 " * 700, "1 " * 40, "12-34-56-78-90-12-34-56",
     "٣@b.co ١.2.3.4 1.2.3.4", prose(3, 300),
-    "10.0.0.1 127.0.0.1, 192.168.0.1 0.0.0.0 00.000.1.0 0.1.2.3 0256.0.0.1 1.00255.0.0", "0" * 20000 + ".0.0." + "0" * 20000 + " " + "0" * 20000 + "256.1.1.1", "x" * 100_000 + " 10.0.0.1",
+    "10.0.0.1 127.0.0.1, 192.168.0.1 0.0.0.0 00.000.1.0 0.1.2.3 0256.0.0.1 1.00255.0.0", "0" * 4000 + ".0.0." + "0" * 4000 + " " + "0" * 4000 + "256.1.1.1", "x" * 100_000 + " 10.0.0.1",
 ]
 
 
